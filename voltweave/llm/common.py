@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -45,9 +45,20 @@ def scored(fields: str, f: Callable[[pd.Series], pd.DataFrame]) -> Callable[[Col
     return F.pandas_udf(f, fields)  # type: ignore[call-overload]
 
 
-def sampled_rows(df: DataFrame, key: Column, limit: int, columns: list[str]) -> list:
-    """At most limit rows, those with the smallest hash of key: the same rows on every run and in every layout."""
-    return df.select(F.xxhash64(key, F.lit(17)).alias("_h"), *columns).orderBy("_h", *columns[:1]).limit(limit).collect()
+def stratified(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
+    """About per_class rows of each label (all rows of smaller classes), picked by a hash of key.
+
+    The same rows on every run and in every layout. The number of labels bounds the result, so it may be collected.
+    """
+    span = float(2**53)
+    share = {r[label]: min(1.0, 1.1 * per_class / r["n"]) for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if not share:
+        return df.limit(0)
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(2**53)) / F.lit(span)
+    wanted = F.lit(False)
+    for value, part in sorted(share.items(), key=lambda x: str(x[0])):
+        wanted = wanted | ((F.col(label) == F.lit(value)) & (draw < F.lit(part)))
+    return df.where(wanted)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -55,8 +66,3 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def frames(rows: Iterator[dict[str, list]]) -> Iterator[pd.DataFrame]:
-    for x in rows:
-        yield pd.DataFrame(x)
