@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltweave.llm import langid, media, mixing, tokens, toxicity
+from voltweave.llm import langid, licenses, media, mixing, tokens, toxicity, warc
 from voltweave.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.query(table(spark, sf_dir, "documents"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.query(table(spark, sf_dir, "documents"))
 
