@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -247,22 +248,24 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _has_item(shared: Broadcast):
+    @F.pandas_udf("boolean")
+    def has(text: pd.Series) -> pd.Series:
+        flags = np.zeros(len(text), bool)
+        for n, _ in scan([normal(decode(t)) for t in text], shared.value):
+            flags[n] = True
+        return pd.Series(flags)
+
+    return has
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> Column:
     """Whether the text column of docs contains a benchmark item."""
     spark = docs.sparkSession
     bounded_batches(spark)
     out = F.lit(False)
     for index in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def has(text: pd.Series, shared=shared) -> pd.Series:
-            flags = np.zeros(len(text), bool)
-            for n, _ in scan([normal(decode(t)) for t in text], shared.value):
-                flags[n] = True
-            return pd.Series(flags)
-
-        out = out | has(utf8(F.col("text")))
+        out = out | _has_item(spark.sparkContext.broadcast(index))(utf8(F.col("text")))
     return out
 
 
