@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
-    """A session for tests and the bench; clusters bring their own."""
+def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "8g", **settings: str) -> SparkSession:
+    """A session for tests and the bench; clusters bring their own. settings: further ones, with _ for each dot."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("voltweave")
@@ -20,6 +20,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map={k.replace("_", "."): v for k, v in settings.items()})
         .getOrCreate()
     )
 
@@ -33,8 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = os.path.join(tempfile.gettempdir(), "voltweave-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if (path := spark.sparkContext.getCheckpointDir()) is None:
+            path = os.path.join(tempfile.gettempdir(), "voltweave-checkpoints")
+            spark.sparkContext.setCheckpointDir(path)
+            path = spark.sparkContext.getCheckpointDir() or path
     return path.rstrip("/")
 
 
