@@ -61,6 +61,13 @@ def stratified(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame
     return df.where(wanted)
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About so many rows (all if there are fewer), those whose key hashes below a share found from the count."""
+    n = df.count()
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit(23)), F.lit(2**53)) / F.lit(float(2**53))
+    return df.where(draw < F.lit(min(1.0, 1.1 * rows / n))) if n else df.limit(0)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixing function."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

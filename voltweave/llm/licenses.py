@@ -135,7 +135,8 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
             for text in pdf["text"]:
                 counts.update(INDEX.vocabulary.intersection(words_of(bytes(text))))
                 counts[b""] += 1
-        yield pd.DataFrame({"word": [w.decode() for w in counts], "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"word": [w.decode() for w in counts], "n": list(counts.values())})
 
     rows = docs.select(utf8(F.col("text")).alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"].encode(): r["n"] for r in rows}

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltweave.llm.common import bounded_batches, decode, scored, utf8
+from voltweave.llm.common import bounded_batches, decode, hash_sample, scored, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -467,9 +467,9 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fits on a bounded sample: the TRAIN_DOCS documents with a digit or @ whose text hashes lowest."""
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text", F.lit(23)).alias("h"), "text")
-    return fit([r["text"] for r in rows.orderBy("h", "text").limit(TRAIN_DOCS).collect()])
+    """Fits on a bounded sample: about TRAIN_DOCS of the documents with a digit or @, those whose text hashes lowest."""
+    rows = hash_sample(docs.where(F.col("text").rlike("[0-9@]")), "text", TRAIN_DOCS).limit(2 * TRAIN_DOCS)
+    return fit(sorted(r["text"] for r in rows.select("text").collect()))
 
 
 FIELDS = "n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
