@@ -12,6 +12,8 @@ from voltweave.session import materialise, release
 
 #: Far more rounds than any graph needs: the depth halves with each.
 MAX_ROUNDS = 60
+#: Contracted edges up to which one task finishes the work; beyond it rounds of stars do.
+SMALL = 50_000
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,13 +57,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """One row (node, component) per node with an edge to another; component is the least node of its component.
 
-    Null ends, self-loops and repeated edges are ignored. Partitions are first contracted by union-find, then large-star and
+    With few edges left after the partitions' contraction, one task ends the work. Null ends, self-loops and repeated edges are ignored. Partitions are first contracted by union-find, then large-star and
     small-star operations alternate until every node points at its component's least node: O(log n) rounds, each cut by a
     table in the shared folder. Hubs are handled by partial aggregation and by joins that Spark can split.
     """
     kind = edges.schema[u].dataType.simpleString()
     edges = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v")
-    state = materialise(edges.mapInPandas(_contract, f"u {kind}, v {kind}"), "components")
+    stars = f"u {kind}, v {kind}"
+    state = materialise(edges.mapInPandas(_contract, stars), "components")
+    if state.count() <= SMALL:
+        state = materialise(state.coalesce(1).mapInPandas(_contract, stars), "components")
+        return _named(state)
     mark = None
     for _ in range(MAX_ROUNDS):
         new = materialise(_small_star(_large_star(state)), "components")
@@ -71,4 +77,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         if row == mark:
             break
         mark = row
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select("v", "v").distinct())
+    return _named(state)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
