@@ -22,8 +22,8 @@ def tile_counts(points: DataFrame, tile: float) -> DataFrame:
 def dense_components(tiles: DataFrame, share: float, least: int) -> DataFrame:
     """i, j, component, size: tiles with counts above a percentile, in edge-connected components of at least so many tiles."""
     tiles = materialise(tiles, "tiles")
-    limit = tiles.agg(F.percentile("n", F.lit(share)).alias("limit"))
-    dense = tiles.join(F.broadcast(limit), F.col("n") > F.col("limit"))  # one row
+    limit = tiles.agg(F.percentile("n", F.lit(share))).first()[0]
+    dense = tiles.where(F.col("n") > F.lit(limit))
     key = F.col("i") * 100000 + F.col("j")
     dense = materialise(dense.select("i", "j", key.alias("id")), "dense")
     right = dense.select((F.col("i") - 1).alias("i"), "j", F.col("id").alias("v"))

@@ -44,10 +44,9 @@ def renumbered(df: DataFrame, order: list[Column], name: str, pattern: str | Non
 
 def balanced(rows: DataFrame, label: str, key: str) -> DataFrame:
     """As many rows of each label as the rarest has, those with the smallest hash of the key."""
-    least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("_least"))
+    least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
     w = Window.partitionBy(label).orderBy(mixed(F.col(key)), key)
-    ranked = rows.withColumn("_k", F.row_number().over(w))
-    return ranked.join(F.broadcast(least), F.col("_k") <= F.col("_least")).select(*rows.columns)  # one row
+    return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= least).select(*rows.columns)
 
 
 def block_split(cells: DataFrame, size: int, share: float) -> DataFrame:
@@ -55,9 +54,8 @@ def block_split(cells: DataFrame, size: int, share: float) -> DataFrame:
     at = lambda c: F.floor(F.col(c) / size).cast("long")
     blocks = cells.select(at("row").alias("br"), at("col").alias("bc")).distinct()
     ranked = dense_rank_global(blocks, [mixed(F.col("br") * 100003 + F.col("bc")), F.col("br"), F.col("bc")], "_k")
-    n = ranked.agg(F.count("*").alias("_n"))
-    val = F.col("_k") < F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    return ranked.crossJoin(F.broadcast(n)).select("br", "bc", F.when(val, "val").otherwise("train").alias("part"))  # n is one row
+    val = F.col("_k") < max(1, math.floor(ranked.count() * share))
+    return ranked.select("br", "bc", F.when(val, "val").otherwise("train").alias("part"))
 
 
 def patches(tiles: DataFrame, rows: int, cols: int, size: int, stride: int, coverage: float, block: int | None = None, parts: DataFrame | None = None) -> DataFrame:
@@ -89,11 +87,11 @@ def along_lines(lines: DataFrame, n: int, radius: float) -> DataFrame:
     Each line gets the numbers that its stretch of the running length covers, so no range join is needed.
     """
     ranked = dense_rank_global(lines.withColumn("len", g.segment_length()), [F.col("id")], "_k")
-    total = ranked.agg(F.sum("len").alias("_all"))
+    total = ranked.agg(F.sum("len")).first()[0] or 1.0
     # n * (expected share) samples: the whole part for sure, the rest by a draw
-    want = F.lit(float(n)) * F.col("len") / F.col("_all")
+    want = F.lit(float(n)) * F.col("len") / F.lit(total)
     count = (F.floor(want) + (unit(1, "id") < want - F.floor(want)).cast("long")).cast("int")
-    picked = ranked.crossJoin(F.broadcast(total)).withColumn("_n", count).where("_n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_n"))))  # total is one row
+    picked = ranked.withColumn("_n", count).where("_n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     at = g.interpolate("x1", "y1", "x2", "y2", unit(2, "id", "k"))
     angle, r = unit(3, "id", "k") * 2 * math.pi, unit(4, "id", "k") * radius
     return picked.withColumn("_p", at).select("k", F.col("id").alias("line_id"), (F.col("_p.x") + r * F.cos(angle)).alias("x"), (F.col("_p.y") + r * F.sin(angle)).alias("y"))

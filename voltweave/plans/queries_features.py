@@ -46,12 +46,12 @@ def tile_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_layers("v_segs", "v_sites", "v_pts")
-    + f""", e as (select id, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y from v_segs where id % 7 = 0), a as (select p.id, min({_D}) as d from e p, v_sites s group by p.id), b as (select p.id, min({_D}) as d from e p, v_pts s group by p.id)
+    + f""", e as (select id, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y from v_segs), a as (select p.id, min({_D}) as d from e p, v_sites s group by p.id), b as (select p.id, min({_D}) as d from e p, v_pts s group by p.id)
     select a.id, round(least(a.d, b.d), 4) as dist_any from a join b using (id)"""
 )
 def merged_distances(spark: SparkSession, d: str) -> DataFrame:
     """The nearer of two layers' distances."""
-    units = features.midpoints(layer(spark, d, "v_segs").where("id % 7 = 0"))
+    units = features.midpoints(layer(spark, d, "v_segs"))
     table = features.distances(units, {"sites": layer(spark, d, "v_sites"), "pts": layer(spark, d, "v_pts")})
     return features.merged_distances(table, {"any": ["sites", "pts"]}).select("id", F.round("dist_any", 4).alias("dist_any"))
 
@@ -66,7 +66,7 @@ def perpendicular_slope(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def network_edges(spark: SparkSession, d: str) -> DataFrame:
     """Roads outside exclusion zones, cut at crossings, as a graph."""
-    edges, _ = features.network_tables(layer(spark, d, "v_segs").where("id % 4 = 0"), layer(spark, d, "v_boxes"))
+    edges, _ = features.network_tables(layer(spark, d, "v_segs"), layer(spark, d, "v_boxes"))
     return edges.select("edge_id", "u", "v", "highway")
 
 
@@ -89,12 +89,12 @@ def substation_enrichment(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_layers("v_sites", "v_pts")
-    + """, s as (select row_number() over (order by k, i) - 1 as id, x, y from (select 0 as k, id as i, x, y from v_sites union all select 1, id, x, y from v_pts where id % 3 = 0)),
+    + """, s as (select row_number() over (order by k, i) - 1 as id, x, y from (select 0 as k, id as i, x, y from v_sites union all select 1, id, x, y from v_pts)),
     pr as (select a.id as u, b.id as v from s a join s b on sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 50), reach(u, v) as (select id, id from s union select r.u, pr.v from reach r join pr on r.v = pr.u), comp as (select u, min(v) as c from reach group by u)
     select count(distinct c) as rows, count(distinct case when s.id < (select count(*) from v_sites) then c end) as from_first from comp join s on comp.c = s.id"""
 )
 def recipe_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Two sources merged and deduplicated within 50 m, the first source preferred."""
-    sources = {"eia_gas": layer(spark, d, "v_sites").select("x", "y"), "eia_hydro": layer(spark, d, "v_pts").where("id % 3 = 0").select("x", "y")}
+    sources = {"eia_gas": layer(spark, d, "v_sites").select("x", "y"), "eia_hydro": layer(spark, d, "v_pts").select("x", "y")}
     out = recipes.build("eia_gas_hydro", sources)
     return out.agg(F.count("*").alias("rows"), F.count_if(F.col("source_file") == "eia_gas").alias("from_first"))

@@ -18,13 +18,12 @@ e as (select p_partkey * 2 as row_id, p_partkey as u, (p_partkey * 7 + 3) % n as
 union all select p_partkey * 2 + 1, p_partkey, (p_partkey * 11 + 5) % n, 1 + p_size, p_brand from part, n)"""
 
 
-def graph(spark: SparkSession, d: str) -> DataFrame:
-    """row_id, u, v, w, highway: two edges from every part number."""
+def graph(spark: SparkSession, d: str, second: bool = True) -> DataFrame:
+    """row_id, u, v, w, highway: two edges from every part number, or the first of them."""
     parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_brand")
-    n = parts.agg(F.count("*").alias("n"))
-    p, k = F.col("p_partkey"), F.col("n")
-    ends = F.array(F.struct((p * 2).alias("row_id"), ((p * 7 + 3) % k).alias("v")), F.struct((p * 2 + 1).alias("row_id"), ((p * 11 + 5) % k).alias("v")))
-    rows = parts.crossJoin(F.broadcast(n)).select(p.alias("u"), (F.col("p_size") + 1).alias("w"), F.col("p_brand").alias("highway"), F.explode(ends).alias("e"))  # n is one row
+    p, k = F.col("p_partkey"), F.lit(parts.count())
+    ends = [F.struct((p * 2).alias("row_id"), ((p * 7 + 3) % k).alias("v")), F.struct((p * 2 + 1).alias("row_id"), ((p * 11 + 5) % k).alias("v"))]
+    rows = parts.select(p.alias("u"), (F.col("p_size") + 1).alias("w"), F.col("p_brand").alias("highway"), F.explode(F.array(*(ends if second else ends[:1]))).alias("e"))
     return rows.select("e.row_id", "u", "e.v", "w", "highway")
 
 
@@ -73,15 +72,15 @@ _STEPS = 24
 
 
 def _relaxed() -> str:
-    out = ["b as (select u, v, cast(w as double) as w from s union all select v, u, cast(w as double) from s)", "d0 as (select p_partkey as source, p_partkey as node, 0.0::double as dist from part where p_partkey % 100 = 1)"]
+    out = ["b as (select u, v, cast(w as double) as w from s union all select v, u, cast(w as double) from s)", "d0 as (select p_partkey as source, p_partkey as node, 0.0::double as dist from part where p_size = 7)"]
     for i in range(_STEPS):
         out.append(f"d{i + 1} as materialized (select source, node, min(dist) as dist from (select source, node, dist from d{i} union all select d.source, b.v, d.dist + b.w from d{i} d join b on d.node = b.u) group by source, node)")
     return ", ".join(out)
 
 
-@query(_G + f", {_SIMPLE}, {_relaxed()}, t as (select source, dist, row_number() over (partition by source order by dist) as k from d{_STEPS} where node % 50 = 1) select source, dist, cast(k as integer) as k from t where k <= 3")
+@query(_G + f", {_SIMPLE}, {_relaxed()}, t as (select source, dist, row_number() over (partition by source order by dist) as k from d{_STEPS} where node in (select p_partkey from part where p_size = 50)) select source, dist, cast(k as integer) as k from t where k <= 3")
 def nearest_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Network distance from every 100th node to its three nearest of every 50th node."""
+    """Network distance from every node of size 7 to its three nearest of size 50."""
     from pyspark.sql import Window
 
     paths = _paths(spark, d)
@@ -91,9 +90,9 @@ def nearest_targets(spark: SparkSession, d: str) -> DataFrame:
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
     edges = net.simple_graph(graph(spark, d)).withColumn("w", F.col("w").cast("double"))
-    nodes = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("node"))
-    sources = nodes.where("node % 100 = 1").select(F.col("node").alias("source"))
-    targets = nodes.where("node % 50 = 1").select(F.col("node").alias("target"))
+    nodes = spark.read.parquet(f"{d}/part.parquet")
+    sources = nodes.where("p_size = 7").select(F.col("p_partkey").alias("source"))
+    targets = nodes.where("p_size = 50").select(F.col("p_partkey").alias("target"))
     return net.nearest_targets(edges, sources, targets, 3)
 
 
@@ -132,20 +131,17 @@ def dso_crossing(spark: SparkSession, d: str) -> DataFrame:
     return segs.join(at, "id", "left").select("id", (~F.col("t0").eqNullSafe(F.col("t1"))).cast("int").alias("crosses"))
 
 
-_HALF = "v_segs where id % 3 = 0"
-
-
 @query(
     with_layers("v_segs")
-    + f""", s as (select * from {_HALF}), x as (select a.id, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0) as t,
+    + f""", s as (select * from v_segs), x as (select a.id, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0) as t,
     ((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0) as u from s a join s b on a.id <> b.id and least(a.x1, a.x2) <= greatest(b.x1, b.x2) and least(b.x1, b.x2) <= greatest(a.x1, a.x2) and least(a.y1, a.y2) <= greatest(b.y1, b.y2) and least(b.y1, b.y2) <= greatest(a.y1, a.y2)),
     c as (select id, t from x where t between 0 and 1 and u between 0 and 1 union select id, 0.0 from s union select id, 1.0 from s),
     p as (select id, t as t1, lag(t) over (partition by id order by t) as t0 from c)
     select p.id, round(t0, 6) as t0, round(t1, 6) as t1 from p join s using (id) where t0 is not null and (t1 - t0) * {_SLEN} > 0.005"""
 )
 def planarise_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Every third segment, cut at all crossings."""
-    pieces = net.planarise(layer(spark, d, "v_segs").where("id % 3 = 0"), 400.0)
+    """Every segment, cut at all crossings."""
+    pieces = net.planarise(layer(spark, d, "v_segs"), 400.0)
     return pieces.select("id", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"))
 
 
@@ -172,7 +168,7 @@ def overlap_integration(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def degree2_stitch(spark: SparkSession, d: str) -> DataFrame:
     """Chains of graph edges through nodes of two ends, merged up to 60 units of length."""
-    edges = graph(spark, d).where("row_id % 2 = 0").select(F.col("row_id").alias("id"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("w").cast("double").alias("len"), F.lit("road").alias("highway"), F.lit(None).cast("string").alias("name"))
+    edges = graph(spark, d, second=False).select(F.col("row_id").alias("id"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("w").cast("double").alias("len"), F.lit("road").alias("highway"), F.lit(None).cast("string").alias("name"))
     return net.stitch(edges, 60.0)
 
 
@@ -189,11 +185,11 @@ def split_long_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_layers("v_segs", "v_boxes")
-    + """, z as (select * from v_boxes where id % 2 = 0) select s.id from v_segs s where not exists (select 1 from z t where least(s.x1, s.x2) <= t.maxx and greatest(s.x1, s.x2) >= t.minx and least(s.y1, s.y2) <= t.maxy and greatest(s.y1, s.y2) >= t.miny and {lo} <= {hi})""".format(**dict(zip(("lo", "hi"), clip_sql("s", "t"), strict=True)))
+    + """, z as (select * from v_boxes) select s.id from v_segs s where not exists (select 1 from z t where least(s.x1, s.x2) <= t.maxx and greatest(s.x1, s.x2) >= t.minx and least(s.y1, s.y2) <= t.maxy and greatest(s.y1, s.y2) >= t.miny and {lo} <= {hi})""".format(**dict(zip(("lo", "hi"), clip_sql("s", "t"), strict=True)))
 )
 def zone_blocked_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Segments whose chord touches none of every second box."""
-    return net.remove_blocked(layer(spark, d, "v_segs"), layer(spark, d, "v_boxes").where("id % 2 = 0"), 400.0).select("id")
+    """Segments whose chord touches no box."""
+    return net.remove_blocked(layer(spark, d, "v_segs"), layer(spark, d, "v_boxes"), 400.0).select("id")
 
 
 @query()
@@ -203,14 +199,26 @@ def synthetic_links(spark: SparkSession, d: str) -> DataFrame:
     return net.spanning_links(seeds, "zone_id", 2000.0)
 
 
+def labels_sql(nodes: str, edges: str, rounds: int) -> str:
+    """CTEs l0 to l<rounds>: least node of each component, by hooking and jumping; edges (u, v) in both directions."""
+    out = [f"l0 as materialized (select id, id as c from {nodes})"]
+    for i in range(rounds):
+        out.append(f"h{i} as materialized (select a.id, least(a.c, coalesce(min(b.c), a.c)) as c from l{i} a left join {edges} e on e.u = a.id left join l{i} b on b.id = e.v group by a.id, a.c)")
+        out.append(f"l{i + 1} as materialized (select a.id, b.c from h{i} a join h{i} b on a.c = b.id)")
+    return ", ".join(out)
+
+
+_ROUNDS = 24
+
+
 @query(
     with_layers("v_segs")
-    + f""", s as (select * from v_segs where id % 5 = 0), b as (select id, floor(x1 / 600) as i, floor(y1 / 600) as j, * exclude (id) from s),
-    pr as (select a.id as u, c.id as v from b a join b c on c.i between a.i - 2 and a.i + 2 and c.j between a.j - 2 and a.j + 2 and a.id <> c.id where least({point_segment_sql("a.x1", "a.y1", "c")}, {point_segment_sql("a.x2", "a.y2", "c")}, {point_segment_sql("c.x1", "c.y1", "a")}, {point_segment_sql("c.x2", "c.y2", "a")}) <= 40
+    + f""", s as (select * from v_segs), b as (select id, floor(x1 / 600) as i, floor(y1 / 600) as j, * exclude (id) from s),
+    pr as materialized (select a.id as u, c.id as v from b a join b c on c.i between a.i - 1 and a.i + 1 and c.j between a.j - 1 and a.j + 1 and a.id <> c.id where least({point_segment_sql("a.x1", "a.y1", "c")}, {point_segment_sql("a.x2", "a.y2", "c")}, {point_segment_sql("c.x1", "c.y1", "a")}, {point_segment_sql("c.x2", "c.y2", "a")}) <= 5
     or (((c.x1 - a.x1) * (c.y2 - c.y1) - (c.y1 - a.y1) * (c.x2 - c.x1)) / nullif((a.x2 - a.x1) * (c.y2 - c.y1) - (a.y2 - a.y1) * (c.x2 - c.x1), 0) between 0 and 1 and ((c.x1 - a.x1) * (a.y2 - a.y1) - (c.y1 - a.y1) * (a.x2 - a.x1)) / nullif((a.x2 - a.x1) * (c.y2 - c.y1) - (a.y2 - a.y1) * (c.x2 - c.x1), 0) between 0 and 1)),
-    reach(u, v) as (select id, id from s union select r.u, pr.v from reach r join pr on r.v = pr.u), comp as (select u, min(v) as c from reach group by u), sz as (select c, count(*) as size from comp group by c having count(*) >= 3)
-    select comp.u as id, c as component, size from comp join sz using (c)"""
+    {labels_sql("s", "pr", _ROUNDS)}, sz as (select c, count(*) as size from l{_ROUNDS} group by c having count(*) >= 3)
+    select id, c as component, size from l{_ROUNDS} join sz using (c)"""
 )
 def prune_network(spark: SparkSession, d: str) -> DataFrame:
-    """Every fifth segment; those in components, linked within 40 m, of three segments at least."""
-    return net.prune(layer(spark, d, "v_segs").where("id % 5 = 0"), 40.0, 3, 400.0).select("id", "component", "size")
+    """Segments in components, linked within 5 m, of three segments at least."""
+    return net.prune(layer(spark, d, "v_segs"), 5.0, 3, 400.0).select("id", "component", "size")

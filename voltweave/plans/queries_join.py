@@ -390,15 +390,14 @@ def zone_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_layers("v_sites", "v_boxes")
-    + """, b as (select id, cx, cy, h from v_boxes where id % 10 = 0), pr as (select x.id as u, y.id as v from b x join b y on greatest(abs(x.cx - y.cx) - x.h - y.h, 0) <= 65 and greatest(abs(x.cy - y.cy) - x.h - y.h, 0) <= 65 and sqrt(power(greatest(abs(x.cx - y.cx) - x.h - y.h, 0), 2) + power(greatest(abs(x.cy - y.cy) - x.h - y.h, 0), 2)) <= 65),
+    + """, b as (select id, cx, cy, h from v_boxes), pr as (select x.id as u, y.id as v from b x join b y on greatest(abs(x.cx - y.cx) - x.h - y.h, 0) <= 65 and greatest(abs(x.cy - y.cy) - x.h - y.h, 0) <= 65 and sqrt(power(greatest(abs(x.cx - y.cx) - x.h - y.h, 0), 2) + power(greatest(abs(x.cy - y.cy) - x.h - y.h, 0), 2)) <= 65),
     reach(u, v) as (select id, id from b union select r.u, pr.v from reach r join pr on r.v = pr.u), comp as (select u, min(v) as c from reach group by u)
-    select c as id, count(*) as n, round(avg(w.val), 3) as mean_val, min(w.minx) as minx, max(w.maxx) as maxx from comp join v_boxes w on comp.u = w.id group by c"""
+    select c as id, count(*) as n, round(avg(w.val), 6) as mean_val, min(w.minx) as minx, max(w.maxx) as maxx from comp join v_boxes w on comp.u = w.id group by c"""
 )
 def merge_polygons_within(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth box; those at most 65 m apart merge: least id, count, mean of values, common envelope."""
-    boxes = layer(spark, d, "v_boxes").where("id % 10 = 0")
-    merged = clustering.merge_boxes_within(boxes, 65.0)
-    return merged.select("id", "n", F.round("mean_val", 3).alias("mean_val"), "minx", "maxx")
+    """Boxes at most 65 m apart merge: least id, count, mean of values, common envelope."""
+    merged = clustering.merge_boxes_within(layer(spark, d, "v_boxes"), 65.0)
+    return merged.select("id", "n", F.round("mean_val", 6).alias("mean_val"), "minx", "maxx")
 
 
 @query(

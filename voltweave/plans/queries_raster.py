@@ -71,11 +71,12 @@ def mean_field_size(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("region").agg(F.count("*").alias("n")).agg(F.count("*").alias("fields"), F.round(F.avg("n") * 10000, 4).alias("mean_field_size_m2"))
 
 
-@query(_P + ", a as (select row, col, v from pix where (row + col) % 3 = 0), b as (select row, col, v + 10 as v from pix where (row + col) % 2 = 0) select coalesce(a.row, b.row) as row, coalesce(a.col, b.col) as col, coalesce(a.v, b.v) as v from a full join b on a.row = b.row and a.col = b.col")
+@query(_P + ", b as (select cast(o_orderkey % 230 as bigint) as row, cast(o_custkey % 230 as bigint) as col, count(*) as v from orders group by 1, 2) select coalesce(p.row, b.row) as row, coalesce(p.col, b.col) as col, cast(coalesce(p.v, b.v) as bigint) as v from pix p full join b on p.row = b.row and p.col = b.col")
 def raster_mosaic(spark: SparkSession, d: str) -> DataFrame:
     """Two overlapping rasters, the first one winning."""
-    pix = raster(spark, d)
-    return ra.mosaic(pix.where("(row + col) % 3 = 0"), pix.where("(row + col) % 2 = 0").withColumn("v", F.col("v") + 10))
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    second = orders.groupBy((F.col("o_orderkey") % 230).alias("row"), (F.col("o_custkey") % 230).alias("col")).agg(F.count("*").alias("v"))
+    return ra.mosaic(raster(spark, d).withColumn("v", F.col("v").cast("long")), second)
 
 
 @query(_P + " select b.id, v from v_bldg b left join pix on pix.row = floor(b.y / 100) and pix.col = floor(b.x / 100)")
@@ -106,14 +107,14 @@ def tile_lattice(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_layers("v_bldg")
-    + """, t as (select distinct cast(floor(x / 250) as bigint) as col, cast(floor((20000 - y) / 250) as bigint) as row from v_bldg where x < 12000),
+    + """, t as (select distinct cast(floor(x / 250) as bigint) as col, cast(floor((20000 - y) / 250) as bigint) as row from v_bldg),
     s as (select unnest(range(0, 65, 16)) as k), p as (select a.k as r0, b.k as c0 from s a, s b where a.k + 16 <= 80 and b.k + 16 <= 80)
-    select r0, c0, count(*) as n from p join t on row >= r0 and row < r0 + 16 and col >= c0 and col < c0 + 16 group by r0, c0 having count(*) >= 0.4 * 256"""
+    select r0, c0, count(*) as n from p join t on row >= r0 and row < r0 + 16 and col >= c0 and col < c0 + 16 group by r0, c0 having count(*) >= 0.6 * 256"""
 )
 def patch_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of 16 x 16 tiles, 16 apart, that are 40 % full at least."""
-    tiles = layer(spark, d, "v_bldg").where("x < 12000").select(F.floor(F.col("x") / 250).alias("col"), F.floor((20000 - F.col("y")) / 250).alias("row")).distinct()
-    return sampling.patches(tiles, 80, 80, size=16, stride=16, coverage=0.4).select("r0", "c0", "n")
+    """Windows of 16 x 16 tiles, 16 apart, that are 60 % full at least."""
+    tiles = layer(spark, d, "v_bldg").select(F.floor(F.col("x") / 250).alias("col"), F.floor((20000 - F.col("y")) / 250).alias("row")).distinct()
+    return sampling.patches(tiles, 80, 80, size=16, stride=16, coverage=0.6).select("r0", "c0", "n")
 
 
 _HASH = "(cast({k} as bigint) * 2654435761) % 4294967296"
