@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for what runs inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes a DataFrame as Parquet to the shared folder and reads it again.
 
@@ -57,13 +70,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # its shuffle files serve nothing else
-    before = spark.conf.get(cleanup)
-    spark.conf.set(cleanup, "true")
-    try:
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # they serve nothing else
         df.write.parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
