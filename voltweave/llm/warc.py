@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltweave.llm.common import utf8
-from voltweave.session import materialise, scratch_path
+from voltweave.session import materialise, scratch_path, setting
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
@@ -196,7 +196,10 @@ FOUND = "page_id long, url string, payload_bytes long, payload_digest string, re
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, and one of type `gap` per quarantined stretch, with place and reason."""
+    """One row per record, and one of type `gap` per quarantined stretch, with place and reason.
+
+    The result is a table in the shared folder, so archives are parsed once, few of them in a batch.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FOUND.split(", ")]
@@ -207,9 +210,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 found = pd.DataFrame(out, columns=names)
                 yield found.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # archives in a batch
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, FOUND)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "4"):
+        return materialise(files.select("path", "content").mapInPandas(run, FOUND), "warc-records")
 
 
 def query(pages: DataFrame) -> DataFrame:
