@@ -95,6 +95,17 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, key:
     return out
 
 
+def final_model(df: DataFrame, features: list[str], label: str, best: list[int], make):
+    """The model on all rows, with as many trees as the folds' best iterations had on average; make(trees) gives an estimator."""
+    rows = assembled(df.withColumn("label", F.col(label).cast("double")).withColumn("weight", class_weight(df, label)), features)
+    return make(max(1, round(sum(best) / len(best)))).fit(rows)
+
+
+def with_geometry(predictions: DataFrame, geometry: DataFrame, key: str) -> DataFrame:
+    """Predictions beside their geometry; ids without one drop out, an id with several gets a row for each."""
+    return geometry.join(predictions, key)
+
+
 def importances(model, features: list[str], most: int = 30) -> list[tuple[str, float]]:
     return sorted(zip(features, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:most]
 
