@@ -124,12 +124,13 @@ def test_redaction():
     assert pii.redact("mail a@b.co now", [("email", 5, 11)]) == "mail [EMAIL] now"
 
 
-def shingles(text: str) -> frozenset:
+def shingles(text: str, k: int = 4) -> frozenset:
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
-    return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def test_set_join_equals_brute_force(spark):
+@pytest.mark.parametrize("rule", [setjoin.JOIN, setjoin.NEAR_COPIES])
+def test_set_join_equals_brute_force(spark, rule):
     rng = random.Random(5)
     docs = []
     passage = " ".join(word(rng) for _ in range(40))
@@ -140,7 +141,7 @@ def test_set_join_equals_brute_force(spark):
             for _ in range(rng.randint(0, 4)):
                 w[rng.randrange(len(w))] = word(rng)
             docs.append((len(docs), " ".join(w) + (" " + passage if g % 3 == 0 else "")))
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, rule.words) for i, t in docs}
     root = {i: i for i in sets}
 
     def find(x):
@@ -151,9 +152,9 @@ def test_set_join_equals_brute_force(spark):
     for i in sets:
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and 100 * both >= 85 * len(sets[i] | sets[j]) and find(i) != find(j):
+            if sets[i] and rule.whole * both >= rule.part * len(sets[i] | sets[j]) and find(i) != find(j):
                 root[max(find(i), find(j))] = min(find(i), find(j))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.query(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), rule).collect()}
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
 
 
@@ -176,7 +177,7 @@ def test_long_lists_are_compared_in_blocks(spark):
 
     for i in range(300):
         for j in range(i):
-            if find(i) != find(j) and setjoin.links(sets[i], sets[j]):
+            if find(i) != find(j) and setjoin.JOIN.links(sets[i], sets[j]):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     got = {r["doc_id"]: r["component_id"] for r in setjoin.query(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: find(i) for i in range(300)}
