@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voltweave.plans import queries_features, queries_graph, queries_join, queries_ml, queries_raster, queries_scalar  # noqa: F401  they register
+from voltweave.plans import queries_features, queries_graph, queries_join, queries_ml, queries_raster, queries_scalar, queries_units  # noqa: F401  they register
 from voltweave.plans.registry import ORACLES, QUERIES, Query
 
 
