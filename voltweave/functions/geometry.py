@@ -64,7 +64,12 @@ def _crossing(a: str, b: str) -> tuple[Column, Column, Column]:
 
 def segment_distance(a: str, b: str) -> Column:
     """Least distance of two segments given by column prefixes."""
-    ends = [point_segment_distance(f"{p}x{i}", f"{p}y{i}", f"{q}x1", f"{q}y1", f"{q}x2", f"{q}y2") for p, q in ((a, b), (b, a)) for i in (1, 2)]
+
+    def end(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        # the share is bound to a variable: written out at each use, the four distances make an expression too large to compile
+        return F.transform(F.array(foot(px, py, x1, y1, x2, y2)), lambda t: distance(px, py, x1 + t * (x2 - x1), y1 + t * (y2 - y1)))[0]
+
+    ends = [end(*[F.col(c) for c in (f"{p}x{i}", f"{p}y{i}", f"{q}x1", f"{q}y1", f"{q}x2", f"{q}y2")]) for p, q in ((a, b), (b, a)) for i in (1, 2)]
     return F.when(F.coalesce(segments_cross(a, b), F.lit(False)), F.lit(0.0)).otherwise(F.least(*ends))
 
 

@@ -92,8 +92,9 @@ def remove_stubs(segs: DataFrame, classes: list[str], shorter: float, reach: flo
 
 
 def touching_pairs(segs: DataFrame, reach: float, cell: float) -> DataFrame:
-    boxed = sj.boxed_segments(segs)
-    return sj.within_distance(boxed, boxed, reach, g.segment_distance("l_", "r_"), cell).where("l_id < r_id")
+    boxed = sj.boxed_segments(segs.select("id", "x1", "y1", "x2", "y2"))
+    once = sj.box_pairs(boxed, boxed, cell, reach).where("l_id < r_id")  # before the distance, which costs most
+    return once.where(g.segment_distance("l_", "r_") <= reach)
 
 
 def prune(segs: DataFrame, reach: float, least: int, cell: float) -> DataFrame:

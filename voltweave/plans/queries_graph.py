@@ -221,4 +221,4 @@ _ROUNDS = 24
 )
 def prune_network(spark: SparkSession, d: str) -> DataFrame:
     """Segments in components, linked within 5 m, of three segments at least."""
-    return net.prune(layer(spark, d, "v_segs"), 5.0, 3, 400.0).select("id", "component", "size")
+    return net.prune(layer(spark, d, "v_segs"), 5.0, 3, 200.0).select("id", "component", "size")
