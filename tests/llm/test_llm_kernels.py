@@ -299,6 +299,22 @@ def test_licence_index_finds_notices_and_needs_key_phrases():
     assert licenses.scan(b"", idf) == (0, 0, None, None, "", "", 0.0)
 
 
+def test_no_licence_template_crowds_out_another():
+    t = licenses.TEMPLATES
+    notices = ["mit-notice", "gpl-3-notice", "apache-2-notice", "cc-by-nc-notice"]
+    common = {w for k in notices for w in licenses.words_of(t[k][0].encode())}
+    idf = {w: 1.0 if w in common else 2.0 for w in licenses.INDEX.vocabulary}
+    bundle = " lorem ipsum dolor sit amet ".join(t[k][0] for k in ["mit-text", *notices])
+    assert set(licenses.scan(bundle.encode(), idf)[5].split(",")) >= {"mit-text", *notices}
+    # all templates at once, after prose that holds every licence word
+    prose = " ".join(sorted(w.decode() for w in licenses.INDEX.vocabulary))
+    every = f"{prose} " + " lorem ipsum dolor sit amet ".join(text for text, _ in t.values())
+    for weights in (idf, {w: -x for w, x in idf.items()}, {}):
+        assert set(licenses.template_hits(licenses.words_of(every.encode()), weights)) == set(t)
+    # a copy without its first words at the beginning of a text
+    assert "gpl-3-notice" in licenses.template_hits(licenses.words_of(t["gpl-3-notice"][0].encode())[2:], idf)
+
+
 def test_licence_base_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -1,10 +1,12 @@
 """Licence scans by a positional index of rare words.
 
 The licence templates below are indexed by word and position. One pass over all documents counts in how many each licence
-word occurs; that gives the words' inverse document frequencies. In the second pass each document looks up its RARE licence
-words of highest IDF, every occurrence votes for (template, document position - template position), and alignments that
-enough of them agree on, up to SLACK inserted or missing words, are candidates. A candidate counts if most of the
-template's words stand in its window in order, and every mandatory key phrase is there, its words consecutive.
+word occurs; that gives the words' inverse document frequencies. In the second pass each document looks up, for every
+template whose mandatory key phrases it holds, that template's RARE words of highest IDF and the rarest word of each phrase,
+so no template crowds out another. Every occurrence votes for (template, document position - template position).
+Alignments that enough of the words agree on, or all looked-up words of one phrase, up to SLACK inserted or missing words, are
+candidates: wherever a key phrase stands is one. A candidate counts if most of the template's words stand in its window in
+order, and every mandatory key phrase is there, its words consecutive.
 
 Besides, the base labels: places where a fixed phrase's words stand consecutively.
 
@@ -73,6 +75,7 @@ class Index:
             for i, w in enumerate(words):
                 self.postings[w].append((t, i))
         self.vocabulary = frozenset(self.postings)
+        self.phrases = [[frozenset(key.split()) for key in keys] for keys in self.keys]
 
 
 INDEX = Index()
@@ -95,26 +98,36 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
 def template_hits(words: list[bytes], idf: dict[bytes, float], index: Index = INDEX) -> dict[str, float]:
     """Label and coverage of the templates that a document's words contain."""
     present = index.vocabulary.intersection(words)
-    rare = sorted(present, key=lambda w: (-idf.get(w, 0.0), w))[:RARE]
-    if not rare:
+    held = [t for t, phrases in enumerate(index.phrases) if all(p <= present for p in phrases)]
+    if not held:
         return {}
-    wanted, votes = set(rare), defaultdict(list)
+    joined = b" " + b" ".join(words) + b" "
+    held = [t for t in held if all(key in joined for key in index.keys[t])]
+    rank = {w: k for k, w in enumerate(sorted(present, key=lambda w: (-idf.get(w, 0.0), w)))}
+    wanted: dict[int, set[bytes]] = {}
+    for t in held:
+        rare = sorted(present.intersection(index.words[t]), key=rank.__getitem__)[:RARE]
+        wanted[t] = set(rare).union(min(p, key=rank.__getitem__) for p in index.phrases[t])
+    asked, votes = set().union(*wanted.values()), defaultdict(list)
     for at, w in enumerate(words):
-        if w in wanted:
+        if w in asked:
             for t, i in index.postings[w]:
-                votes[t].append((at - i, i))
+                if t in wanted and w in wanted[t]:
+                    votes[t].append((at - i, i))
     out: dict[str, float] = {}
     for t, found in votes.items():
         template = index.words[t]
-        need = max(1, math.ceil(COVER * len(wanted.intersection(template))))
+        need = math.ceil(COVER * len(wanted[t]))
+        phrases = [p & wanted[t] for p in index.phrases[t]]
         found.sort()
-        offsets, done = [x for x, _ in found], -1
+        offsets, done = [x for x, _ in found], -len(template) - 1
         for k, (offset, _) in enumerate(found):
             if offset <= done:
                 continue
             agreed = {template[i] for _, i in found[k : bisect_right(offsets, offset + SLACK)]}
-            if len(agreed) < need:
+            if len(agreed) < need and not any(p <= agreed for p in phrases):
                 continue
+            done = offset
             window = words[max(0, offset - SLACK) : max(0, offset + len(template) + 2 * SLACK)]
             text = b" " + b" ".join(window) + b" "
             if not all(key in text for key in index.keys[t]):
