@@ -5,8 +5,8 @@ personal data is replaced by its kind in brackets; and the sources are mixed to
 all that its predecessor kept. All but the last return the columns of documents; the last returns these with size,
 source_size, target and taken, for the documents that the mix takes.
 
-Null texts have no language and go in the first stage. Ids that repeat are one document from the second stage on. Rows
-without id are kept apart by source and text. Empty tables pass through.
+Null texts have no language and go in the first stage. Every stage judges rows by their texts: rows whose id repeats or is
+null are documents of their own, and near copies of each other only if their texts are. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -35,10 +35,21 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return pii.redacted(docs)
 
 
+def with_row_ids(docs: DataFrame) -> DataFrame:
+    """Adds _id, which no two rows share: doc_id where that is of one row, else a hash of the row, numbered if equal rows are left."""
+    repeated = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_known")), "mix-repeated")
+    if repeated.isEmpty():
+        return docs.withColumn("_id", F.col("doc_id").cast("long"))
+    of_one = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_known")), "left_anti").withColumn("_id", F.col("doc_id").cast("long"))
+    hashed = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_known")), "left_semi").withColumn("_id", F.xxhash64("doc_id", "source", "text"))
+    equal = materialise(hashed.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_id").alias("_known")), "mix-equal")
+    alone = hashed.join(equal, F.col("_id") == F.col("_known"), "left_anti")
+    numbered = hashed.join(equal, F.col("_id") == F.col("_known"), "left_semi").withColumn("_id", F.xxhash64("_id", F.monotonically_increasing_id()))
+    return of_one.unionByName(alone).unionByName(materialise(numbered, "mix-numbered"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = docs.where("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long"))
-    nameless = docs.where("doc_id is null").dropDuplicates(["source", "text"]).withColumn("_id", F.xxhash64("source", "text"))
-    whole = known.unionByName(nameless)
+    whole = with_row_ids(docs)
     taken = mixing.mix(whole.select(F.col("_id").alias("doc_id"), "source", "text")).where("taken > 0")
     return whole.join(taken.withColumnRenamed("doc_id", "_id"), "_id").drop("_id")
 

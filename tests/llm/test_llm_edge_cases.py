@@ -107,6 +107,43 @@ def test_one_of_each_class_stays(docs):
     assert kept == [1, 2, 3, 4, 5, 6, 8]
 
 
+def _prose(seed, n=60):
+    return " ".join(f"w{(seed * 7919 + i * 104729) % 100003}" for i in range(n))
+
+
+def test_near_copies_are_judged_by_text_and_not_by_id(spark):
+    near = lambda seed: _prose(seed).rsplit(" ", 1)[0] + " changed"
+    rows = [(9, _prose(i)) for i in range(5)]  # unrelated texts under one id
+    rows += [(1, _prose(5)), (9, near(5)), (9, _prose(6)), (12, near(6))]  # the repeated id has a copy of a lesser id, and of a greater one
+    rows += [(None, _prose(7)), (None, near(7)), (None, _prose(8)), (20, _prose(9)), (None, near(9)), (-3, _prose(10)), (4, near(10))]
+    rows += [(30, _prose(11))] * 3 + [(31, None), (31, ""), (None, " ")]
+    kept = [(r["doc_id"], r["text"]) for r in setjoin.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    classes = {}  # least id, null last, of each class of texts
+    for i, t in rows:
+        if t and t.strip():
+            classes.setdefault(t.rsplit(" ", 1)[0], []).append((i is None, i or 0))
+    assert sorted((i is None, i or 0, t.rsplit(" ", 1)[0]) for i, t in kept if t and t.strip()) == sorted((*min(x), t) for t, x in classes.items())
+    assert sorted((i or 0 for i, t in kept if not (t and t.strip()))) == [0, 31, 31]
+    words = spark.createDataFrame([("b", _prose(1)), ("a", near(1)), ("ab", near(1)), ("b", _prose(2))], "doc_id string, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in setjoin.keep_one_of_each(words).collect()) == [("a", near(1)), ("b", _prose(2))]
+
+
+def test_the_mix_keeps_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    rows = [(i if i < 50 else 50 if i < 75 else None, _prose(i if i % 5 else 0, 20 + i % 7), "a" if i % 2 else "b", None, None) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    ids = [r["_id"] for r in corpus_pipeline.with_row_ids(docs).collect()]
+    assert len(set(ids)) == len(ids) == len(rows)
+    taken = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    seen = lambda x: (x["doc_id"] is None, x["doc_id"] or 0, x["text"], x["source"])
+    left = sorted(map(seen, docs.collect()))
+    for r in taken:  # no row comes twice
+        left.remove(seen(r))
+        assert r["size"] == len(r["text"].split()) and 0 < r["taken"] <= 2 * r["size"]
+    assert taken
+
+
 def test_decontamination_of_edge_cases(docs, benchmark):
     got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontam.query(docs, benchmark).where("doc_id is not null").collect())
     assert got == [(1, 1, 0), (1, 1, 0), (7, 1, 0)]
