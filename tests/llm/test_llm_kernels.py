@@ -56,6 +56,14 @@ def test_decontamination_finds_exactly_what_the_budget_allows():
             assert found[1][n][0] == d
 
 
+def test_short_items_are_found_word_for_word():
+    items = [(1, "Who, me?"), (2, "who me"), (3, "me"), (4, "12 apples + 3 pears"), (5, "?!"), (6, "the answer is forty two indeed")]
+    index = decontam.Index.of(items)
+    texts = ["Well: who -- me? And me.", "whose mention", "he has 12 apples 3 pears", "12 apples 3 pear", "", "so the answer is forty two indeed, me", "who m"]
+    got = {n: {index.ids[i]: hit for i, hit in best.items()} for n, best in decontam.scan([decontam.normal(t) for t in texts], index)}
+    assert got == {0: {1: (0, 5, 11), 2: (0, 5, 11), 3: (0, 9, 11)}, 2: {4: (0, 7, 24)}, 5: {3: (0, 34, 36), 6: (0, 3, 33)}}
+
+
 def test_character_map_follows_normal():
     for text in (" Hello,  Wörld! x", "İß\n\n", "", "a.b.c"):
         assert len(decontam.character_map(text)) == len(decontam.normal(text))

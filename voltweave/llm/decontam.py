@@ -9,8 +9,10 @@ alignment restricted to the band's diagonals gives the edit distance. No copy wi
 The benchmark is streamed to the driver in blocks of at most BLOCK_BYTES; each block's index goes to the executors and makes
 one pass over the documents. Texts are searched whole.
 
-Defined cases: null and empty texts contain nothing; items of fewer than LEAST_BYTES bytes (null ones too) are too short to be
-evidence and are never found; items whose budget would make the bound useless get the largest budget that doesn't; repeated
+Items of fewer than LEAST_BYTES bytes have no budget and too few q-grams: they are found word for word, at word boundaries.
+
+Defined cases: null and empty texts contain nothing; items without a word (null ones too) are never found; an excerpt of an item
+is no copy unless what it leaves out is within the budget; items whose budget would make the bound useless get the largest budget that doesn't; repeated
 items count once per id, equal texts under several ids once for each; repeated documents are reported repeatedly. Of several
 copies of an item in a document the one with fewest edits is reported, the first among equals. An empty benchmark finds
 nothing. Other columns are not looked at.
@@ -76,13 +78,18 @@ class Index:
     owner: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
+    short: dict[bytes, dict[int, dict[bytes, list[int]]]]  #: first word, length, item: numbers of the items that are too short for q-grams
 
     @staticmethod
     def of(rows: list[tuple[object, str]]) -> Index:
         pairs = sorted({(i, normal(t)) for i, t in rows if t}, key=lambda x: (str(x[0]), x[1]))
-        pairs = [(i, t) for i, t in pairs if len(t) >= LEAST_BYTES]
+        pairs = [(i, t) for i, t in pairs if t]
         items = [t for _, t in pairs]
-        parts = [qgram_hashes(t) for t in items]
+        parts = [qgram_hashes(t if len(t) >= LEAST_BYTES else b"") for t in items]
+        short: dict[bytes, dict[int, dict[bytes, list[int]]]] = {}
+        for n, t in enumerate(items):
+            if len(t) < LEAST_BYTES:
+                short.setdefault(t.split(b" ", 1)[0], {}).setdefault(len(t), {}).setdefault(t, []).append(n)
         hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(items)), [len(p) for p in parts]).astype(np.int32)
         place = np.concatenate([np.arange(len(p)) for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
@@ -91,7 +98,7 @@ class Index:
         bitmap[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
         m = np.array([len(t) for t in items], np.int64)
         k = np.array([budget(len(t)) for t in items], np.int64)
-        return Index([i for i, _ in pairs], items, k, m - Q + 1 - k * Q, hashes[order], owner[order], place[order], bitmap)
+        return Index([i for i, _ in pairs], items, k, m - Q + 1 - k * Q, hashes[order], owner[order], place[order], bitmap, short)
 
 
 def candidates(data: bytes, index: Index) -> Iterator[tuple[int, int, int]]:
@@ -168,6 +175,20 @@ def matches(text: bytes, found: list[tuple[int, int, int]], index: Index) -> dic
     return best
 
 
+def short_matches(text: bytes, index: Index) -> dict[int, tuple[int, int, int]]:
+    """Item number to (0, start, end) of the first place of each short item."""
+    best: dict[int, tuple[int, int, int]] = {}
+    at = 0
+    for word in text.split(b" "):
+        for length, items in index.short.get(word, {}).items():
+            end = at + length
+            if text[end : end + 1] in (b"", b" "):
+                for i in items.get(text[at:end], ()):
+                    best.setdefault(i, (0, at, end))
+        at += len(word) + 1
+    return best
+
+
 def scan(texts: list[bytes], index: Index) -> Iterator[tuple[int, dict[int, tuple[int, int, int]]]]:
     """Number and matches of each normalised text that has any; short texts are scanned together."""
     at = 0
@@ -184,8 +205,11 @@ def scan(texts: list[bytes], index: Index) -> Iterator[tuple[int, dict[int, tupl
             while t < end - at and starts[t] <= last + len(index.items[i]):
                 by_text.setdefault(t, []).append((i, first - int(starts[t]), last - int(starts[t])))
                 t += 1
-        for t, found in sorted(by_text.items()):
-            if best := matches(texts[at + t], found, index):
+        for t in range(end - at) if index.short else sorted(by_text):
+            best = matches(texts[at + t], by_text.get(t, []), index)
+            if index.short:
+                best |= short_matches(texts[at + t], index)
+            if best:
                 yield at + t, best
         at = end
 
