@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -9,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: with texts of 100 kB, 25 MB.
-BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
+#: Labels that are learnt, at most: the most frequent ones.
+MOST_LABELS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Whole texts can be long, so batches that go to Python hold few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Whole texts can be long, so batches that go to Python hold few rows and few bytes.
+
+    A plan reads these settings when it runs, after its function has returned, so they stay set; only lower bounds replace them.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(f"spark.sql.execution.arrow.{key}") or "0") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def fold(doc_id: Column) -> Column:
@@ -46,12 +55,13 @@ def scored(fields: str, f: Callable[[pd.Series], pd.DataFrame]) -> Callable[[Col
 
 
 def stratified(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """About per_class rows of each label (all rows of smaller classes), picked by a hash of key.
+    """About per_class rows of each of the MOST_LABELS most frequent labels (all rows of smaller classes), picked by a hash of key.
 
-    The same rows on every run and in every layout. The number of labels bounds the result, so it may be collected.
+    The same rows on every run and in every layout. Rows of equal keys go together, so `bounded` must follow where keys repeat.
     """
     span = float(2**53)
-    share = {r[label]: min(1.0, 1.1 * per_class / r["n"]) for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    most = df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), label).limit(MOST_LABELS)
+    share = {r[label]: min(1.0, 1.1 * per_class / r["n"]) for r in most.collect()}
     if not share:
         return df.limit(0)
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(2**53)) / F.lit(span)
@@ -61,6 +71,19 @@ def stratified(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame
     return df.where(wanted)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """At most so many rows, those that hash lowest: the same on every run and in every layout."""
+    return df.orderBy(F.xxhash64(*df.columns), *df.columns).limit(rows)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About so many rows (all if there are fewer), those whose key hashes below a share found from the count."""
     n = df.count()
