@@ -1,23 +1,25 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character 3- to 5-grams (hashed to BUCKETS rows), so that unseen
-misspellings and inflections share the vectors of what was seen. A document's vector is an average of word vectors, and
-a linear softmax over it gives the two classes. Embeddings and softmax are fitted together: first with the average
-over all words, then with the average over the POOL words that speak most for the toxic class, which is also what scores
-a text. So a few abusive words among thousands count as much as among dozens, and one stray word doesn't decide.
+misspellings and inflections share the vectors of what was seen. A document's vector is the average of its words' vectors and
+of BLANKS zero vectors, a word that occurs c times weighing sqrt(min(c, REPEATS)); a linear softmax over it gives the two
+classes. Embeddings and softmax are fitted together. The blanks keep a stray word of a very short text from deciding, the
+damped weights a word that a text repeats dozens of times.
 
 Because the softmax is linear, a word's share of the log odds is one number, which each worker keeps for the words it has
-met: texts are scored whole, at the cost of a look-up per word.
+met: texts are scored whole, at the cost of a look-up per distinct word.
 
 Defined cases: null and empty texts have no words and score as the bias alone. Without labelled rows of both classes all
-scores are 0. Repeated label rows count repeatedly. Rows of `labels` without a document teach nothing. Other columns are
-not looked at.
+scores are 0. Rows of `labels` without a document teach nothing; of labelled
+texts longer than TRAIN_CHARS are scored but not learnt from; texts that repeat under one label are learnt from once. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +27,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltweave.llm.common import bounded_batches, decode, fold, held_out, scored, stratified, utf8
+from voltweave.llm.common import bounded, bounded_batches, decode, fold, held_out, scored, stratified, utf8
 
-#: Bound of the fit: about so many labelled documents of each class.
-TRAIN_DOCS = 2000
-BUCKETS, DIM, POOL = 1 << 16, 8, 3
-AVERAGE_STEPS, POOL_STEPS, RATE = 25, 90, 0.03
+#: Bounds of the fit: about so many labelled documents of each class, none longer than so many characters.
+TRAIN_DOCS, TRAIN_CHARS = 2000, 100_000
+BUCKETS, DIM = 1 << 16, 8
+#: Zero vectors that every average holds, and occurrences of a word that count.
+BLANKS, REPEATS = 100, 3
+#: SCALE makes up for the smallness of an average of many words.
+SCALE, STEPS, RATE, SHRINK = 100.0, 200, 0.05, 1e-4
 CACHE_WORDS = 250_000
 WORD = re.compile(r"[^\W_]+")
 
@@ -61,55 +66,55 @@ class _Adam:
         return RATE * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
 
 
+def weights_of(counts: np.ndarray) -> np.ndarray:
+    """What words weigh in their document's average, by how often they occur."""
+    return np.sqrt(np.minimum(counts, REPEATS))
+
+
 def fit(rows: list[tuple[str, int]]) -> Model | None:
     """rows: text and class, 0 or 1. None if a class is missing."""
     y = np.array([c for _, c in rows], np.float32)
     if len(rows) == 0 or y.min() == y.max():
         return None
     vocabulary: dict[str, int] = {}
-    doc_of, word_of, count_of = [], [], []
+    doc_of, word_of, part_of = [], [], []
     for d, (text, _) in enumerate(rows):
         ids, counts = np.unique(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int32), return_counts=True)
+        weights = weights_of(counts)
         doc_of.append(np.full(len(ids), d, np.int32))
         word_of.append(ids)
-        count_of.append(counts.astype(np.int32))
-    doc, word, count = np.concatenate(doc_of), np.concatenate(word_of), np.concatenate(count_of)
-    n_docs, n_words = len(rows), len(vocabulary)
-    if n_words == 0:
+        part_of.append((weights / (weights.sum() + BLANKS)).astype(np.float32))
+    doc, word, part = np.concatenate(doc_of), np.concatenate(word_of), np.concatenate(part_of)
+    if not vocabulary:
         return None
     subs = [subwords(w) for w in vocabulary]
     sizes = np.array([len(s) for s in subs], np.int32)
     sub = np.array([x for s in subs for x in s], np.int32)
-    owner = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
-    del subs, vocabulary
+    del subs, doc_of, word_of, part_of
+    # sums over documents, words and subwords run over rows sorted by them
+    docs, doc_start = np.unique(doc, return_index=True)
+    by_word = np.argsort(word, kind="stable")
+    word_doc, word_part, word_start = doc[by_word], part[by_word], np.searchsorted(word[by_word], np.arange(len(sizes)))
+    sub_start = np.cumsum(sizes) - sizes
+    by_bucket = np.argsort(sub, kind="stable")
+    bucket_word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_bucket]
+    buckets, bucket_start = np.unique(sub[by_bucket], return_index=True)
     rng = np.random.default_rng(7)
     emb = (rng.standard_normal((BUCKETS, DIM)) * 0.05).astype(np.float32)
     out = (rng.standard_normal(DIM) * 0.5).astype(np.float32)  # the difference of the softmax's two rows
     bias = np.zeros(1, np.float32)
     steps = [_Adam(emb.shape), _Adam(out.shape), _Adam(bias.shape)]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()).astype(np.float32)
-    length = np.bincount(doc, weights=count, minlength=n_docs).astype(np.float32)
-    for step in range(AVERAGE_STEPS + POOL_STEPS):
-        share = (emb @ out)[sub]
-        margin = np.bincount(owner, weights=share, minlength=n_words).astype(np.float32) / sizes
-        if step < AVERAGE_STEPS:
-            pick, part = slice(None), count / np.maximum(1, length[doc])
-            scale = 3.0  # the mean of many words is small
-        else:
-            if (step - AVERAGE_STEPS) % 5 == 0:  # the words that speak most for class 1, repeats counted
-                order = np.lexsort((-margin[word], doc))
-                before = np.cumsum(count[order]) - count[order]
-                first = np.searchsorted(doc[order], np.arange(n_docs))
-                room = POOL - (before - before[np.minimum(first, len(before) - 1)][doc[order]])
-                pick = order[room > 0]
-                part = np.minimum(count[pick], room[room > 0]) / POOL
-            scale = 1.0
-        z = scale * np.bincount(doc[pick], weights=part * margin[word[pick]], minlength=n_docs) + bias[0]
+    for _ in range(STEPS):
+        margin = (np.add.reduceat((emb @ out)[sub], sub_start) / sizes).astype(np.float32)
+        z = np.full(len(rows), bias[0])
+        z[docs] += SCALE * np.add.reduceat(part * margin[word], doc_start)
         slope = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32)
-        by_word = np.bincount(word[pick], weights=scale * part * slope[doc[pick]], minlength=n_words) / sizes
-        by_sub = np.bincount(sub, weights=by_word[owner], minlength=BUCKETS).astype(np.float32)
-        grad_out = by_sub @ emb
-        emb -= steps[0].step(np.outer(by_sub, out) + 1e-6 * emb)
+        of_word = (SCALE * np.add.reduceat(word_part * slope[word_doc], word_start) / sizes).astype(np.float32)
+        of_bucket = np.zeros(BUCKETS, np.float32)
+        of_bucket[buckets] = np.add.reduceat(of_word[bucket_word], bucket_start)
+        grad_out = of_bucket @ emb
+        emb -= steps[0].step(np.outer(of_bucket, out) + SHRINK * emb)
         out -= steps[1].step(grad_out)
         bias -= steps[2].step(slope.sum(keepdims=True))
     return Model((emb @ out).astype(np.float32), float(bias[0]))
@@ -131,17 +136,18 @@ class Margins(dict):
 
 
 def score(model: Model, margins: Margins, text: str) -> float:
-    words = words_of(text)
-    m = np.fromiter(map(margins.__getitem__, words), np.float64, len(words))
-    top = np.partition(m, len(m) - POOL)[-POOL:] if len(m) > POOL else m
-    return float(1 / (1 + np.exp(-np.clip(top.sum() / POOL + model.bias, -30, 30))))
+    counts = Counter(words_of(text))
+    weights = weights_of(np.fromiter(counts.values(), np.float64, len(counts)))
+    total = float(weights @ np.fromiter(map(margins.__getitem__, counts), np.float64, len(counts)))
+    return float(1 / (1 + np.exp(-np.clip(SCALE * total / (weights.sum() + BLANKS) + model.bias, -30, 30))))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fits on a bounded, hash-picked sample of the labelled documents outside fold 0."""
-    known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).select(F.col("doc_id"), "toxic")
-    sample = stratified(known, "toxic", "doc_id", TRAIN_DOCS).limit(3 * TRAIN_DOCS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").collect()  # at most 3 * TRAIN_DOCS rows are broadcast
+    known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).select("doc_id", "toxic").distinct()
+    sample = stratified(known, "toxic", "doc_id", TRAIN_DOCS)
+    texts = docs.select("doc_id", "text").where(F.char_length(F.coalesce("text", F.lit(""))) <= TRAIN_CHARS)
+    rows = bounded(texts.join(sample, "doc_id").select("text", "toxic").distinct(), 3 * TRAIN_DOCS).collect()
     return fit(sorted((r["text"] or "", int(r["toxic"])) for r in rows))
 
 
