@@ -6,7 +6,8 @@ sum wins; the score is its softmax share, with the sum scaled to the evidence of
 
 Defined cases: null and empty texts, and texts without a letter, give `und` with score 0. Ties go to the language that
 comes first by code point. Without training rows every text gives `und`. Repeated rows give repeated results. Other
-columns are not looked at.
+columns are not looked at. Training texts that repeat within a language teach once; of a column with more languages than
+MOST_LABELS the most frequent ones are learnt.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltweave.llm.common import bounded_batches, decode, fold, held_out, scored, stratified, utf8
+from voltweave.llm.common import bounded, bounded_batches, decode, fold, fresh, held_out, scored, stratified, utf8
 
-#: Bound of the fit: about so many training documents of each language.
-TRAIN_DOCS = 1500
-#: Bounds of the model: known words, and known n-grams of each length, the most frequent ones.
+#: Bounds of the fit: about so many training documents of each language, none longer than so many characters.
+TRAIN_DOCS, TRAIN_CHARS = 1500, 100_000
+#: Sizes of the model: known words, and known n-grams of each length, the most frequent ones of the training documents that
+#: occur at least LEAST_WORD or LEAST_GRAM times there. Rarer words back off to n-grams, as unseen ones do.
 MAX_WORDS, MAX_GRAMS = 150_000, 40_000
+LEAST_WORD, LEAST_GRAM = 2, 3
 LENGTHS = (5, 4, 3, 2, 1)
 EVIDENCE_WORDS = 20
 #: Words kept with their scores in each Python worker, besides the vocabulary.
@@ -73,7 +76,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     counts: list[Counter] = [Counter() for _ in langs]
     for text, lang in rows:
         counts[place[lang]].update(words_of(text))
-    words, word_logs = _logs(counts, MAX_WORDS, 2)
+    words, word_logs = _logs(counts, MAX_WORDS, LEAST_WORD)
     grams, gram_logs = [], []
     for n in LENGTHS:
         by_lang: list[Counter] = []
@@ -83,7 +86,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
                 for x in grams_of(w, n):
                     g[x] += v
             by_lang.append(g)
-        table, logs = _logs(by_lang, MAX_GRAMS, 3)
+        table, logs = _logs(by_lang, MAX_GRAMS, LEAST_GRAM)
         grams.append(table)
         gram_logs.append(logs)
     return Model(langs, words, word_logs, grams, gram_logs)
@@ -135,9 +138,10 @@ def predict(model: Model, scores: Scores, text: str) -> tuple[str, float]:
 
 def train(docs: DataFrame) -> Model:
     """Fits on a bounded, hash-picked sample of the documents outside fold 0 that carry a language."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    sample = stratified(known, "lang", "doc_id", TRAIN_DOCS).select("text", "lang").collect()
-    return fit(sorted((r["text"], r["lang"]) for r in sample))
+    known = docs.where(F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS) & (fold(F.col("doc_id")) != 0))
+    sample = stratified(known.select("text", "lang"), "lang", "text", TRAIN_DOCS).distinct()
+    langs = sample.select("lang").distinct().count()
+    return fit(sorted((r["text"], r["lang"]) for r in bounded(sample, 2 * langs * TRAIN_DOCS).collect()))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> tuple[Column, DataFrame]:
@@ -164,9 +168,9 @@ def query(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language is told with a score of at least `least`; 0.25 would be a blind guess among four."""
     found, docs = identify(docs)
-    names = docs.columns
-    out = docs.withColumn("_lang_found", found)
-    return out.where((F.col("_lang_found.lang_pred") != UNDETERMINED) & (F.col("_lang_found.score") >= least)).select(*names)
+    name = fresh(docs, "_lang_found")
+    out = docs.withColumn(name, found)
+    return out.where((F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= least)).select(*docs.columns)
 
 
 __all__ = ["Model", "fit", "identify", "keep_identified", "predict", "query", "train"]
