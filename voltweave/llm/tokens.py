@@ -9,13 +9,14 @@ several hold as many (`largest`); or to the section of its first byte (`first`).
 sections' counts add up to the document's.
 
 Defined cases: null and empty texts have no token and one empty section; a text that ends with a line feed has no further
-section after it; a lone special-token string in a text is ordinary text. Other columns are not looked at.
+section after it; runs of white space may have any length; a lone special-token string in a text is ordinary text. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from pathlib import Path
 
 import numpy as np
@@ -30,6 +31,11 @@ VOCABULARY = os.environ.get("VOLTWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_mu
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Runs of white space (Unicode's, as the pattern takes it) that are cut out before encoding: the pattern's look-ahead backs up
+#: through a run, which overflows the encoder's stack in very long ones.
+LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
+
+
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines()) if a}
 
@@ -45,8 +51,16 @@ class Encoder:
 
     def ends(self, text: str) -> np.ndarray:
         """The end of each token, in bytes."""
-        ids = np.asarray(self.encoding.encode_ordinary(text), np.int64)
-        return np.cumsum(self.lengths[ids])
+        ids: list[int] = []
+        at = 0
+        for m in LONG_RUN.finditer(text):
+            # the pattern makes a run one piece, but leaves its last character to the word that follows
+            end = m.end() - (m.end() < len(text))
+            ids += self.encoding.encode_ordinary(text[at : m.start()])
+            ids += self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        ids += self.encoding.encode_ordinary(text[at:])
+        return np.cumsum(self.lengths[np.asarray(ids, np.int64)])
 
 
 def line_ends(data: bytes) -> np.ndarray:
