@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltweave.llm.common import bounded_batches, decode, hash_sample, scored, utf8
+from voltweave.llm.common import bounded, bounded_batches, decode, hash_sample, scored, splitmix, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -117,8 +118,9 @@ EMBED, HIDDEN = 12, 16
 TAGS = 1 + 2 * len(KINDS)
 CLASSES = 131  #: ASCII, other letters, other characters, padding
 PAD = 130
-#: Bound of the fit: documents of the corpus sample, and windows from it and made up.
-TRAIN_DOCS, CORPUS_WINDOWS, MADE_WINDOWS = 1500, 2500, 2500
+#: Bounds of the fit: documents of the corpus sample, none longer than so many characters, windows of one document, of the
+#: corpus, and made up.
+TRAIN_DOCS, TRAIN_CHARS, DOC_WINDOWS, CORPUS_WINDOWS, MADE_WINDOWS = 1500, 100_000, 8, 2500, 2500
 EPOCHS, BATCH, RATE = 12, 125, 0.01
 DECODE_BATCH = 512
 
@@ -127,10 +129,11 @@ def encode(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if codes.size == 0 or codes.max() < 128:
         return codes.astype(np.int16)
-    out = codes.astype(np.int64)
+    out = np.minimum(codes, 129).astype(np.int16)
     high = np.flatnonzero(codes >= 128)
-    out[high] = [128 if text[i].isalpha() else 129 for i in high]
-    return out.astype(np.int16)
+    kinds, which = np.unique(codes[high], return_inverse=True)
+    out[high] = np.array([128 if chr(c).isalpha() else 129 for c in kinds.tolist()], np.int16)[which]
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -329,20 +332,35 @@ def window_starts(text: str) -> list[int]:
     return [c * STRIDE for c in sorted(cells | {c - 1 for c in cells if c})]
 
 
+def padded_codes(text: str) -> np.ndarray:
+    return np.concatenate((encode(text), np.full(WINDOW, PAD, np.int16)))
+
+
 def window_codes(text: str, starts: list[int]) -> np.ndarray:
-    codes = np.concatenate((encode(text), np.full(WINDOW, PAD, np.int16)))
-    return codes[np.asarray(starts)[:, None] + np.arange(WINDOW)]
+    return padded_codes(text)[np.asarray(starts)[:, None] + np.arange(WINDOW)]
+
+
+def training_windows(texts: list[str]) -> list[tuple[int, int]]:
+    """Text number and start of the windows to learn from: DOC_WINDOWS of each text and CORPUS_WINDOWS of all, that hash lowest."""
+    found: list[tuple[int, int, int]] = []
+    for n, text in enumerate(texts):
+        starts = np.asarray(window_starts(text), np.uint64)
+        with np.errstate(over="ignore"):
+            h = splitmix(starts * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(text.encode("utf-8", "replace"))) * np.uint64(0xD6E8FEB86659FD93))
+        found += [(int(h[i]), n, int(starts[i])) for i in np.argsort(h, kind="stable")[:DOC_WINDOWS].tolist()]
+    return sorted((n, start) for _, n, start in sorted(found)[:CORPUS_WINDOWS])
 
 
 def fit(texts: list[str]) -> Model:
-    """Trains on the sample's windows with their base spans and on the made-up windows."""
+    """Trains on windows of the sample with their base spans and on the made-up windows."""
     codes, gold = [], []
-    for text in texts:
-        spans = base_spans(text)
-        for start in window_starts(text):
-            if len(codes) < CORPUS_WINDOWS:
-                codes.append(window_codes(text, [start])[0])
-                gold.append(tags_of(spans, start))
+    spans: list[Span] = []
+    last = -1
+    for n, start in training_windows(texts):
+        if n != last:
+            last, spans = n, base_spans(texts[n])
+        codes.append(window_codes(texts[n], [start])[0])
+        gold.append(tags_of(spans, start))
     for text, spans in made_windows(MADE_WINDOWS):
         codes.append(window_codes(text, [0])[0])
         gold.append(tags_of(spans, 0))
@@ -427,23 +445,31 @@ def reconcile(pieces: list[tuple[str, int, int, float, bool]], text: str, base:
 def all_spans(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
     """Base and added spans of each text."""
     base = [base_spans(t) for t in texts]
-    places = [(n, s) for n, t in enumerate(texts) for s in window_starts(t)]
     pieces: list[list] = [[] for _ in texts]
-    at = 0
-    while at < len(places):
-        part = places[at : at + DECODE_BATCH]
-        codes, rows = [], 0
-        while rows < len(part):
-            n = part[rows][0]
-            starts = [s for m, s in part[rows:] if m == n]
-            codes.append(window_codes(texts[n], starts))
-            rows += len(starts)
-        tags, margin = model.decode(np.concatenate(codes))
-        hit = tags.any(axis=1)
-        for i in np.flatnonzero(hit).tolist():
-            n, s = part[i]
+    held: list[np.ndarray] = []
+    places: list[tuple[int, int]] = []
+
+    def flush() -> None:
+        tags, margin = model.decode(np.concatenate(held))
+        for i in np.flatnonzero(tags.any(axis=1)).tolist():
+            n, s = places[i]
             pieces[n] += spans_of_window(tags[i], margin[i], s, len(texts[n]))
-        at += len(part)
+        held.clear()
+        places.clear()
+
+    for n, text in enumerate(texts):
+        starts = window_starts(text)
+        if not starts:
+            continue
+        codes = padded_codes(text)  # once a text, however many windows it has
+        while starts:
+            part, starts = starts[: DECODE_BATCH - len(places)], starts[DECODE_BATCH - len(places) :]
+            held.append(codes[np.asarray(part)[:, None] + np.arange(WINDOW)])
+            places += [(n, s) for s in part]
+            if len(places) == DECODE_BATCH:
+                flush()
+    if places:
+        flush()
     return [(b, reconcile(p, t, b) if p else []) for b, p, t in zip(base, pieces, texts, strict=True)]
 
 
@@ -467,9 +493,9 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fits on a bounded sample: about TRAIN_DOCS of the documents with a digit or @, those whose text hashes lowest."""
-    rows = hash_sample(docs.where(F.col("text").rlike("[0-9@]")), "text", TRAIN_DOCS).limit(2 * TRAIN_DOCS)
-    return fit(sorted(r["text"] for r in rows.select("text").collect()))
+    """Fits on a bounded sample: about TRAIN_DOCS of the distinct texts with a digit or @ of at most TRAIN_CHARS characters."""
+    rows = hash_sample(docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= TRAIN_CHARS)), "text", TRAIN_DOCS)
+    return fit(sorted(r["text"] for r in bounded(rows.distinct(), 2 * TRAIN_DOCS).collect()))
 
 
 FIELDS = "n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
