@@ -36,6 +36,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Swaps tried at the landing, at most.
 SWAPS = 16
 EPS = 1e-9
+#: Equal rows that one array may number.
+MANY = 10_000
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -119,6 +121,14 @@ def _fly_block(level: int):
     return run
 
 
+def _each_row(groups: DataFrame) -> DataFrame:
+    """As many rows, numbered from 1 in _row, as each group of equal rows has; groups of more than MANY go through several tasks."""
+    few = groups.where(F.col("rows") <= MANY).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    parts = groups.where(F.col("rows") > MANY).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / MANY))))
+    many = parts.repartition("_part").withColumn("_row", F.explode(F.sequence(F.col("_part") * MANY + 1, F.least("rows", (F.col("_part") + 1) * MANY))))
+    return few.unionByName(many.drop("_part"))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = materialise(docs.select("doc_id", "source", size.alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "mix-sizes")
@@ -149,7 +159,7 @@ def mix(docs: DataFrame) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    out = out.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    out = _each_row(out)
     takes = F.col("copies") + (F.col("_row") <= F.col("sure") + F.round("p").cast("long")).cast("long")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * takes).alias("taken"))
 
