@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltweave.llm.common import bounded_batches, scored, utf8
+from voltweave.llm.common import bounded_batches, utf8
 
 UNIT = 64
 RATE = 8000
@@ -189,6 +189,8 @@ SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
     (b"P5", "image/x-portable-graymap", _pgm),
 ]
 RIFF_TYPES = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
+#: Types that a validator can confirm.
+CHECKED = frozenset({kind for _, kind, _ in SIGNATURES} | set(RIFF_TYPES.values())) - {"riff"}
 
 
 @lru_cache(maxsize=1)
@@ -234,8 +236,8 @@ def unpack(media: bytes) -> bytes:
     raise ValueError("no valid WAV data")
 
 
-def describe(media: bytes, declared: str) -> str:
-    """The corrected type, the declared one where it was wrong, figures of the samples, and what is embedded."""
+def describe(media: bytes, declared: str, data: bytes) -> str:
+    """The corrected type of the stored form, its declared one, figures of the samples, and type and embedded objects of the data."""
     found = places(media)
     whole = sniff(media, [x for x in found if x[0] == 0])
     kind = whole[0][2] if whole and whole[0][1] == len(media) else UNKNOWN
@@ -244,26 +246,57 @@ def describe(media: bytes, declared: str) -> str:
     total = int((counts * np.arange(256)).sum())
     inner = sniff(media, [x for x in found if x[0] >= 44], 44)
     parts = [f"type={kind}", f"declared={declared}", f"fixed={int(kind != declared)}", f"samples={len(samples)}", f"sum={total}", f"values={int((counts > 0).sum())}"]
+    parts.append("content=" + (inner[0][2] if inner and inner[0][:2] == (44, len(data)) else plain_type(data)))
     parts.append("carved=" + "|".join(f"{k}@{at - 44}+{n}" for at, n, k in inner))
     return ";".join(parts)
 
 
+def plain_type(data: bytes) -> str:
+    """The type of bytes that are no object of a known format as a whole."""
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return UNKNOWN
+    return UNKNOWN if b"\0" in data else "text/plain" if data else "application/x-empty"
+
+
+def corrected(data: bytes, declared: str) -> str:
+    """The type of bytes as a whole: the confirmed one, else the declared one unless that is a type whose check failed."""
+    found = sniff(data, [x for x in places(data) if x[0] == 0])
+    if found and found[0][1] == len(data):
+        return found[0][2]
+    return plain_type(data) if declared in CHECKED or not declared else declared
+
+
 FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_record(data: bytes, declared: str = UNKNOWN) -> tuple:
     media, _ = pack(data)
     back = unpack(media)
-    return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(media, declared)
+    return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(media, declared, data)
 
 
-def stored_media(text: Column, declared: str = UNKNOWN) -> Column:
+def stored_media(text: Column, declared: Column | None = None) -> Column:
+    """declared: the media type that each row claims for its stored form; null or none is UNKNOWN."""
     names = [x.split()[0] for x in FIELDS.split(", ")]
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([media_record(bytes(t), declared) for t in texts], columns=names)
+    @F.pandas_udf(FIELDS)
+    def run(texts: pd.Series, claims: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([media_record(bytes(t), c) for t, c in zip(texts, claims, strict=True)], columns=names)
+
+    claim = F.lit(UNKNOWN) if declared is None else F.coalesce(declared.cast("string"), F.lit(UNKNOWN))
+    return run(utf8(text), claim)
+
+
+def corrected_types(content: Column, declared: Column) -> Column:
+    """The media type of each row's bytes, correcting the type that the row declares; null content is empty."""
+
+    @F.pandas_udf("string")
+    def run(data: pd.Series, claims: pd.Series) -> pd.Series:
+        return pd.Series([corrected(bytes(b), c) for b, c in zip(data, claims, strict=True)], dtype=object)
 
-    return scored(FIELDS, run)(utf8(text))
+    return run(utf8(content), F.coalesce(declared.cast("string"), F.lit("")))
 
 
 def query(docs: DataFrame) -> DataFrame:
