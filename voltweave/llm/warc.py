@@ -8,7 +8,8 @@ archives reach any file system that Spark writes to, and its commit protocol cov
 The reader walks an archive record by record. A record passes if its gzip member inflates, its version line and headers
 parse, the block has its Content-Length, the record ends as it must, and a stored payload has its SHA-1. After a failed
 check the reader searches for the next place that passes - a gzip member or a version line - goes on from there, and logs
-the bytes between as a quarantined gap.
+the bytes between as a quarantined gap. What a member inflates to is searched likewise, also before a break: a damaged record
+costs its neighbours nothing, whether members hold one record or a whole archive.
 
 Defined cases: a null html is the empty payload; of rows that tie for the largest id all are responses; a null id is less
 than any other, and where all ids of a payload are null all its rows are responses; a null url becomes `urn:x-unknown`; an
@@ -28,13 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltweave.llm.common import utf8
+from voltweave.llm.common import bounded_batches, utf8
 from voltweave.session import materialise, scratch_path, setting
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-#: Records in one archive file, at most; bounds what a reader task holds.
-FILE_RECORDS = 2000
+#: Payload bytes below which so many records may share an archive file; either bound keeps a file within 256 MB, unless it
+#: holds one record. Files are read whole, so this bounds what a reader task holds.
+FILE_RECORDS = ((1 << 17, 2000), (1 << 24, 16), (1 << 62, 1))
 DATE = "2000-01-01T00:00:00Z"
 LAST = b"\x00"
 
@@ -91,11 +93,12 @@ class Record:
     digest: str = ""
     payload: bytes = b""
     reason: str = ""
+    inner: tuple[int, int] | None = None  #: place within what a gzip member inflates to
 
 
 def _parse(b: bytes, at: int) -> tuple[Record, int]:
     """The record at a version line, and where it ends. ValueError names the failed check."""
-    if not re.compile(rb"WARC/\d\.\d\r\n").match(b, at):
+    if not VERSION.match(b, at):
         raise ValueError("version line")
     end = b.find(b"\r\n\r\n", at)
     if end < 0:
@@ -129,39 +132,51 @@ def _parse(b: bytes, at: int) -> tuple[Record, int]:
 
 
 GZIP = b"\x1f\x8b\x08"
+VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 NEXT = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 
 
-def _read_at(b: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member, or the plain record, at a place, and where it ends."""
-    if b[at : at + 3] != GZIP:
-        record, end = _parse(b, at)
-        return [record], end
-    z = zlib.decompressobj(31)
-    try:
-        plain = z.decompress(memoryview(b)[at:])
-    except zlib.error as e:
-        raise ValueError("gzip") from e
+#: Bytes given to the inflater at once, and again where a chunk fails, to keep all that precedes the break.
+CHUNK, PIECE = 1 << 16, 64
+
+
+def inflate(b: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at a place inflates to, where it ends, and why it ends early, if it does.
+
+    It is fed in chunks, so the bytes that follow a member are never copied.
+    """
+    z, out, i = zlib.decompressobj(31), [], at
+    while i < len(b) and not z.eof:
+        before = z.copy()
+        try:
+            out.append(z.decompress(b[i : i + CHUNK]))
+            i += CHUNK
+        except zlib.error:
+            try:
+                while True:
+                    out.append(before.decompress(b[i : i + PIECE]))
+                    i += PIECE
+            except zlib.error:
+                return b"".join(out), i, "gzip"
     if not z.eof:
-        raise ValueError("gzip end")
-    end, out, i = len(b) - len(z.unused_data), [], 0
-    while i < len(plain):
-        record, i = _parse(plain, i)
-        record.start, record.end = at, end
-        out.append(record)
-    return out, end
+        return b"".join(out), len(b), "gzip end"
+    return b"".join(out), min(i, len(b)) - len(z.unused_data), ""
 
 
-def salvage(b: bytes) -> Iterator[Record]:
-    """The records of an archive, and a gap for each stretch of bytes in which none passes."""
+def _plain(b: bytes, pattern: re.Pattern) -> Iterator[Record]:
+    """The records of uncompressed bytes (or of whole members where the pattern knows them), and a gap for each other stretch."""
     at, bad, why = 0, -1, ""
     while at < len(b):
         try:
-            records, end = _read_at(b, at)
+            if b[at : at + 3] == GZIP and pattern is NEXT:
+                records, end = _member(b, at)
+            else:
+                record, end = _parse(b, at)
+                records = [record]
         except ValueError as e:
             if bad < 0:
                 bad, why = at, str(e)
-            m = NEXT.search(b, at + 1)
+            m = pattern.search(b, at + 1)
             at = m.start() if m else len(b)
             continue
         if bad >= 0:
@@ -173,10 +188,52 @@ def salvage(b: bytes) -> Iterator[Record]:
         yield Record("gap", bad, len(b), {}, reason=why)
 
 
+def _member(b: bytes, at: int) -> tuple[list[Record], int]:
+    """What the gzip member at a place holds, gaps among its records included, and where it ends.
+
+    A member that breaks off, or holds no whole record, fails if nothing in it passes. Where something does, the records
+    before the break and those between damaged ones are kept, and the rest of the member is a gap.
+    """
+    plain, end, why = inflate(b, at)
+    found = list(_plain(plain, VERSION))
+    if plain and not any(r.kind != "gap" for r in found):
+        raise ValueError(why or found[0].reason)
+    if why and not plain:
+        raise ValueError(why)
+    if why:  # the next member may begin before the place where inflating failed
+        m = re.compile(re.escape(GZIP)).search(b, at + 1)
+        while m and m.start() < end and not _begins(b, m.start()):
+            m = re.compile(re.escape(GZIP)).search(b, m.start() + 1)
+        end = min(end, m.start()) if m else end
+        if not found or found[-1].kind != "gap":
+            found.append(Record("gap", len(plain), len(plain), {}, reason=why))
+        found[-1].reason = why
+    for r in found:
+        r.inner, r.start, r.end = (r.start, r.end), at, end
+    return found, end
+
+
+def _begins(b: bytes, at: int) -> bool:
+    """Whether a gzip member that starts with a record begins at a place."""
+    z = zlib.decompressobj(31)
+    try:
+        return VERSION.match(z.decompress(b[at : at + 4096], 64)) is not None
+    except zlib.error:
+        return False
+
+
+def salvage(b: bytes) -> Iterator[Record]:
+    """The records of an archive, and a gap for each stretch of bytes in which none passes.
+
+    Gaps within a member have the member's place and, as inner, theirs in what it inflates to.
+    """
+    return _plain(b, NEXT)
+
+
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     """Writes one record per row (page_id, url, html) to archives in a folder."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), utf8(F.col("html")).alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))  # equal payloads are told by more than the records' SHA-1
     same = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keep"))
     same = materialise(same.where("n > 1").select(F.col("digest").alias("_digest"), "keep"), "warc-same")
     rows = rows.join(same, F.col("digest") == F.col("_digest"), "left")
@@ -188,11 +245,17 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
         return pd.Series([member(make_record(whole(i), u, bytes(p), whole(k), bool(r)))[:-1] for i, u, p, k, r in zip(page_id, url, payload, keep, again, strict=True)], dtype=object)
 
     text = lambda x: F.col(x).cast("string")  # ids as text: pandas would turn nullable longs into floats
-    records = rows.select(packed(text("page_id"), F.col("url"), F.col("payload"), text("keep"), revisit).cast("string").alias("value"))
-    records.write.option("lineSep", LAST.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    most = pages.agg(F.max(F.octet_length(F.col("html")))).first()[0] or 0
+    low = 0
+    for high, together in FILE_RECORDS:
+        if low <= most:
+            part = rows.where((F.octet_length("payload") >= low) & (F.octet_length("payload") < high)) if most >= FILE_RECORDS[0][0] else rows
+            records = part.select(packed(text("page_id"), F.col("url"), F.col("payload"), text("keep"), revisit).cast("string").alias("value"))
+            records.write.mode("append").option("lineSep", LAST.decode()).option("maxRecordsPerFile", together).text(path)
+        low = high
 
 
-FOUND = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_start long, record_end long, reason string"
+FOUND = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_start long, record_end long, inner_start long, inner_end long, reason string"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -206,19 +269,23 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         number = lambda h, k: int(h[k]) if k in h else None
         for pdf in batches:
             for archive, content in zip(pdf["path"], pdf["content"], strict=True):
-                out = [(number(r.headers, "x-page-id"), r.headers.get("warc-target-uri"), r.payload_bytes, r.digest, r.kind, number(r.headers, "x-refers-to-page-id"), archive, r.start, r.end, r.reason or None) for r in salvage(bytes(content))]
+                out = [(number(r.headers, "x-page-id"), r.headers.get("warc-target-uri"), r.payload_bytes, r.digest, r.kind, number(r.headers, "x-refers-to-page-id"), archive, r.start, r.end, *(r.inner or (None, None)), r.reason or None) for r in salvage(bytes(content))]
                 found = pd.DataFrame(out, columns=names)
-                yield found.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield found.astype({"page_id": "Int64", "refers_to": "Int64", "inner_start": "Int64", "inner_end": "Int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "4"):
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):
         return materialise(files.select("path", "content").mapInPandas(run, FOUND), "warc-records")
 
 
 def query(pages: DataFrame) -> DataFrame:
+    """Writes the pages, reads them back, and fails unless as many whole records came back as went in."""
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    bounded_batches(spark)
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
     found = read_archives(spark, path)
+    back = found.agg(F.count_if(F.col("record_type") != "gap").alias("records"), F.count_if(F.col("record_type") == "gap").alias("gaps")).first()
+    if (back["records"], back["gaps"]) != (rows := pages.count(), 0):
+        raise RuntimeError(f"{rows} pages went into the archives, {back['records']} records and {back['gaps']} gaps came back")
     return found.where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
