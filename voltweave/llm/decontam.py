@@ -6,6 +6,10 @@ the text, and they lie on at most k + 1 neighbouring diagonals (text position mi
 counted in bands of 2k + 2 diagonals that overlap by half; a band that reaches the bound is a candidate region, and an
 alignment restricted to the band's diagonals gives the edit distance. No copy within the budget is lost.
 
+Q-grams that more than COMMON places of the benchmark hold (stems that many items share) aren't looked up, as far as an item's
+bound allows: leaving out n of an item's q-grams lowers its bound by n, and it must stay 1 at least. Look-ups are counted in
+slices of SLICE, regions aligned in batches of items of one length, so memory is bounded however many items share a stem.
+
 The benchmark is streamed to the driver in blocks of at most BLOCK_BYTES; each block's index goes to the executors and makes
 one pass over the documents. Texts are searched whole.
 
@@ -20,6 +24,7 @@ nothing. Other columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltweave.llm.common import bounded_batches, decode, splitmix, utf8
+from voltweave.llm.common import bounded_batches, decode, fresh, splitmix, utf8
 
 Q = 12
 EDIT_RATE = 0.06
@@ -38,6 +43,8 @@ BLOCK_BYTES = 4 << 20
 #: Texts are scanned together up to so many bytes.
 SCAN_BYTES = 1 << 20
 BITS = 22
+#: Places of the benchmark that may hold a q-gram that is always looked up; look-ups counted at a time; bands aligned singly.
+COMMON, SLICE, ONE_BY_ONE = 32, 1 << 21, 16
 _DROP = bytes(x for x in range(128) if not chr(x).isalnum())
 _SPACES = bytes.maketrans(_DROP, b" " * len(_DROP))
 _GAP = b"\x00" * Q
@@ -78,6 +85,7 @@ class Index:
     owner: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
+    longest: int
     short: dict[bytes, dict[int, dict[bytes, list[int]]]]  #: first word, length, item: numbers of the items that are too short for q-grams
 
     @staticmethod
@@ -93,12 +101,22 @@ class Index:
         hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(items)), [len(p) for p in parts]).astype(np.int32)
         place = np.concatenate([np.arange(len(p)) for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
+        m = np.array([len(t) for t in items], np.int64)
+        k = np.array([budget(len(t)) for t in items], np.int64)
+        need = m - Q + 1 - k * Q
+        _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        often = times[which] if len(hashes) else np.zeros(0, np.int64)
+        order = np.lexsort((-often, owner))  # an item's most common q-grams first
+        nth = np.arange(len(order)) - np.concatenate(([0], np.cumsum([len(p) for p in parts])))[owner[order]] if len(order) else order
+        out = order[(often[order] > COMMON) & (nth < need[owner[order]] - 1)]
+        need -= np.bincount(owner[out], minlength=len(items))
+        kept = np.ones(len(hashes), bool)
+        kept[out] = False
+        hashes, owner, place = hashes[kept], owner[kept], place[kept]
         order = np.argsort(hashes, kind="stable")
         bitmap = np.zeros(1 << BITS, bool)
         bitmap[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        m = np.array([len(t) for t in items], np.int64)
-        k = np.array([budget(len(t)) for t in items], np.int64)
-        return Index([i for i, _ in pairs], items, k, m - Q + 1 - k * Q, hashes[order], owner[order], place[order], bitmap, short)
+        return Index([i for i, _ in pairs], items, k, need, hashes[order], owner[order], place[order], bitmap, int(m.max(initial=0)), short)
 
 
 def candidates(data: bytes, index: Index) -> Iterator[tuple[int, int, int]]:
@@ -110,19 +128,31 @@ def candidates(data: bytes, index: Index) -> Iterator[tuple[int, int, int]]:
     low = np.searchsorted(index.hashes, h[at], side="left")
     count = np.searchsorted(index.hashes, h[at], side="right") - low
     at, low, count = at[count > 0], low[count > 0], count[count > 0]
-    if not len(at):
-        return
-    posting = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    item = index.owner[posting].astype(np.int64)
-    diagonal = np.repeat(at, count) - index.place[posting]
-    width = index.k[item] + 1
-    band = (diagonal + (1 << 20)) // width  # item positions are far below the shift, so bands are never negative
-    key = np.concatenate(((item << 40) + band, (item << 40) + band - 1))
-    keys, n = np.unique(key, return_counts=True)
-    for x in keys[n >= index.need[keys >> 40]].tolist():
-        i, b = x >> 40, x & ((1 << 40) - 1)
-        w = int(index.k[i]) + 1
-        yield i, b * w - (1 << 20), (b + 2) * w - 1 - (1 << 20)
+    shift = index.longest + 2  # makes diagonals and bands positive
+    slices = np.unique(np.searchsorted(np.cumsum(count), np.arange(SLICE, int(count.sum()) + SLICE, SLICE), side="right").clip(1, len(at)))
+    keys, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = 0
+    for last in slices.tolist():
+        a, lo, c = at[first:last], low[first:last], count[first:last]
+        posting = np.repeat(lo - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
+        item = index.owner[posting].astype(np.int64)
+        band = (np.repeat(a, c) - index.place[posting] + shift) // (index.k[item] + 1)
+        new, n = np.unique(np.concatenate(((item << 40) + band, (item << 40) + band - 1)), return_counts=True)
+        if len(keys):
+            new, n = np.concatenate((keys, new)), np.concatenate((total, n))
+            keys, which = np.unique(new, return_inverse=True)
+            total = np.bincount(which, weights=n).astype(np.int64)
+        else:
+            keys, total = new, n
+        item = keys >> 40
+        width = index.k[item] + 1
+        high = ((keys & ((1 << 40) - 1)) + 2) * width - 1 - shift
+        beyond = at[last] if last < len(at) else np.iinfo(np.int64).max
+        done = high + index.longest < beyond  # no later q-gram can be in the band
+        for i, h, w in zip(*(x[done & (total >= index.need[item])].tolist() for x in (item, high, width)), strict=True):
+            yield i, h + 1 - 2 * w, h
+        keys, total = keys[~done], total[~done]
+        first = last
 
 
 def align(item: bytes, region: bytes, low: int, high: int) -> tuple[int, int]:
@@ -151,6 +181,34 @@ def align(item: bytes, region: bytes, low: int, high: int) -> tuple[int, int]:
     return int(row[j]), len(a) + low + j
 
 
+def close_enough(text: bytes, found: list[tuple[int, int, int]], index: Index) -> list[tuple[int, int, int]]:
+    """The bands in which an item's copy lies within its budget, told for all bands of items of one length at a time."""
+    out = []
+    bytes_of = np.frombuffer(text, np.uint8).astype(np.int16)
+    for _, group in itertools.groupby(sorted(found, key=lambda x: (len(index.items[x[0]]), x)), key=lambda x: len(index.items[x[0]])):
+        bands = list(group)
+        m, n = len(index.items[bands[0][0]]), bands[0][2] - bands[0][1] + 1
+        step = max(1, (1 << 18) // (m + n))
+        for at in range(0, len(bands), step):
+            part = bands[at : at + step]
+            items = np.frombuffer(b"".join(index.items[i] for i, _, _ in part), np.uint8).reshape(len(part), m)
+            low = np.array([x[1] for x in part], np.int64)
+            columns = np.arange(n)
+            far = m + n + 1
+            place = low[:, None] + columns
+            row = np.where((place >= 0) & (place <= len(text)), 0, far)
+            for i in range(m):
+                place = low[:, None] + (i + columns)  # of the text byte on each diagonal
+                byte = np.where((place >= 0) & (place < len(text)), bytes_of[place.clip(0, len(text) - 1)], -1)
+                skipped = np.concatenate((row[:, 1:], np.full((len(part), 1), far)), axis=1) + 1  # item byte without partner
+                best = np.where((place >= -1) & (place < len(text)), np.minimum(row + (byte != items[:, i : i + 1]), skipped), far)
+                row = np.minimum.accumulate(best - columns, axis=1) + columns  # text bytes without partner
+            place = low[:, None] + (m + columns)
+            least = np.where((place >= 0) & (place <= len(text)), row, far).min(axis=1)
+            out += [x for x, d in zip(part, least.tolist(), strict=True) if d <= index.k[x[0]]]
+    return out
+
+
 def verify(item: bytes, text: bytes, first: int, last: int, k: int) -> tuple[int, int, int] | None:
     """Edits, start and end of the item's copy in text on diagonals first to last; None beyond k edits."""
     lo, hi = max(0, first), min(len(text), last + len(item) + 1)
@@ -168,7 +226,7 @@ def verify(item: bytes, text: bytes, first: int, last: int, k: int) -> tuple[int
 def matches(text: bytes, found: list[tuple[int, int, int]], index: Index) -> dict[int, tuple[int, int, int]]:
     """Item number to (edits, start, end) of its best copy, from candidate bands."""
     best: dict[int, tuple[int, int, int]] = {}
-    for i, first, last in found:
+    for i, first, last in close_enough(text, found, index) if len(found) > ONE_BY_ONE else found:
         hit = verify(index.items[i], text, first, last, int(index.k[i]))
         if hit and (i not in best or hit < best[i]):
             best[i] = hit
@@ -295,7 +353,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> Column:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark item."""
-    return docs.withColumn("_leak", contaminated(docs, benchmark)).where(~F.col("_leak")).select(*docs.columns)
+    leak = fresh(docs, "_leak")
+    return docs.withColumn(leak, contaminated(docs, benchmark)).where(~F.col(leak)).select(*docs.columns)
 
 
 query = find
