@@ -261,8 +261,8 @@ def test_sniffing_validates_and_carves():
     assert [(kind, n) for _, n, kind in media.sniff(blob)] == [("image/png", len(png)), ("image/gif", len(gif)), ("application/gzip", len(gz))]
     packed, n = media.pack(blob)
     assert media.unpack(packed)[: len(blob)] == blob and n % 64 == 0
-    assert "type=audio/wav;declared=image/png;fixed=1" in media.describe(packed, "image/png")
-    assert f"image/png@16+{len(png)}" in media.describe(packed, "image/png")
+    assert "type=audio/wav;declared=image/png;fixed=1" in media.describe(packed, "image/png", blob)
+    assert f"image/png@16+{len(png)}" in media.describe(packed, "image/png", blob)
     with pytest.raises(ValueError):
         media.unpack(packed[:-1])
 
