@@ -3,7 +3,8 @@
 Documents without a telling language go; of each class of near copies one stays; documents that contain a benchmark item go;
 personal data is replaced by its kind in brackets; and the sources are mixed to their target weights. Every stage works on
 all that its predecessor kept. All but the last return the columns of documents; the last returns these with size,
-source_size, target and taken, for the documents that the mix takes.
+source_size, target and taken, for the documents that the mix takes; where documents has a column of such a name, that stays
+and the mix's is called mix_size, and so on.
 
 Null texts have no language and go in the first stage. Every stage judges rows by their texts: rows whose id repeats or is
 null are documents of their own, and near copies of each other only if their texts are. Empty tables pass through.
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltweave.llm import decontam, langid, mixing, pii, setjoin
-from voltweave.llm.common import table
+from voltweave.llm.common import fresh, table
 from voltweave.session import materialise
 
 
@@ -35,23 +36,26 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return pii.redacted(docs)
 
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """Adds _id, which no two rows share: doc_id where that is of one row, else a hash of the row, numbered if equal rows are left."""
-    repeated = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_known")), "mix-repeated")
+def with_row_ids(docs: DataFrame, row: str = "_id") -> DataFrame:
+    """Adds a column, named by row, that no two rows share: doc_id where that is of one row, else a hash of the row, numbered if equal rows are left."""
+    known = fresh(docs.withColumn(row, F.lit(0)), "_known")
+    repeated = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null").select(F.col("doc_id").alias(known)), "mix-repeated")
     if repeated.isEmpty():
-        return docs.withColumn("_id", F.col("doc_id").cast("long"))
-    of_one = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_known")), "left_anti").withColumn("_id", F.col("doc_id").cast("long"))
-    hashed = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_known")), "left_semi").withColumn("_id", F.xxhash64("doc_id", "source", "text"))
-    equal = materialise(hashed.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_id").alias("_known")), "mix-equal")
-    alone = hashed.join(equal, F.col("_id") == F.col("_known"), "left_anti")
-    numbered = hashed.join(equal, F.col("_id") == F.col("_known"), "left_semi").withColumn("_id", F.xxhash64("_id", F.monotonically_increasing_id()))
+        return docs.withColumn(row, F.col("doc_id").cast("long"))
+    of_one = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col(known)), "left_anti").withColumn(row, F.col("doc_id").cast("long"))
+    hashed = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col(known)), "left_semi").withColumn(row, F.xxhash64("doc_id", "source", "text"))
+    equal = materialise(hashed.groupBy(row).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(row).alias(known)), "mix-equal")
+    alone = hashed.join(equal, F.col(row) == F.col(known), "left_anti")
+    numbered = hashed.join(equal, F.col(row) == F.col(known), "left_semi").withColumn(row, F.xxhash64(row, F.monotonically_increasing_id()))
     return of_one.unionByName(alone).unionByName(materialise(numbered, "mix-numbered"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    whole = with_row_ids(docs)
-    taken = mixing.mix(whole.select(F.col("_id").alias("doc_id"), "source", "text")).where("taken > 0")
-    return whole.join(taken.withColumnRenamed("doc_id", "_id"), "_id").drop("_id")
+    row = fresh(docs, "_id")
+    whole = with_row_ids(docs, row)
+    taken = mixing.mix(whole.select(F.col(row).alias("doc_id"), "source", "text")).where("taken > 0")
+    added = {c: c if fresh(docs, c) == c else fresh(docs, f"mix_{c}") for c in ("size", "source_size", "target", "taken")}
+    return whole.join(taken.select(F.col("doc_id").alias(row), *(F.col(c).alias(name) for c, name in added.items())), row).drop(row)
 
 
 STAGES = [
@@ -62,7 +66,8 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: No stage but the benchmark look-up can be put in SQL: tests hold the pipeline against brute force.
+#: Languages and personal data are learnt and the mix is drawn, which SQL can't express: tests hold each stage, and run(),
+#: against brute force.
 ORACLE_SQL = None
 
 
