@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,12 +12,14 @@ from voltweave.session import materialise, release
 
 #: Far more rounds than any graph needs: the depth halves with each.
 MAX_ROUNDS = 60
-#: Contracted edges up to which one task finishes the work; beyond it rounds of stars do.
+#: Contracted edges up to which one task finishes the work; beyond it rounds of stars do, with the same result.
 SMALL = 50_000
+#: Nodes that a task holds at once; more than SMALL edges can have, so that the last task holds all of its.
+HELD = 1_000_000
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over one partition's edges: a star for each of its components."""
+    """Union-find over one partition's edges: a star for each component of every HELD nodes met, so memory is bounded."""
     parent: dict = {}
 
     def find(x):
@@ -35,10 +37,16 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = find(u), find(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    out = [(x, find(x)) for x in parent]
-    out = [(x, r) for x, r in out if x != r]
-    if out:
-        yield pd.DataFrame(out, columns=["u", "v"])
+        if len(parent) > HELD:
+            yield _stars(parent, find)
+            parent.clear()
+    if parent:
+        yield _stars(parent, find)
+
+
+def _stars(parent: dict, find: Callable) -> pd.DataFrame:
+    out = [(x, r) for x in parent if (r := find(x)) != x]
+    return pd.DataFrame(out, columns=["u", "v"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -75,9 +83,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         release(state)
         state = new
         if row == mark:
-            break
+            return _named(state)
         mark = row
-    return _named(state)
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def _named(stars: DataFrame) -> DataFrame:

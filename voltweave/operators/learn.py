@@ -4,25 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltweave.operators.ranking import quantiles, rank_within, running_totals
 from voltweave.operators.sampling import mixed
 
 
 def strip_folds(df: DataFrame, column: str, n: int, name: str = "fold") -> DataFrame:
     """Folds by quantile strips of a coordinate: the number of inner cut points at or below the value. Ties stay together."""
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("c")).first()["c"] if n > 1 else []
     fold = F.lit(0)
-    for c in cuts or []:
+    for c in quantiles(df, [column], [i / n for i in range(1, n)]).get(column, []):
         fold = fold + F.coalesce((F.col(column) >= F.lit(c)).cast("int"), F.lit(0))
     return df.withColumn(name, fold)
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, n: int, name: str = "fold") -> DataFrame:
     """Folds of equal label shares, dealt in the order of a hash of the key."""
-    w = Window.partitionBy(label).orderBy(mixed(F.col(key)), key)
-    return df.withColumn(name, F.pmod(F.row_number().over(w) - 1, F.lit(n)).cast("int"))
+    ranked = rank_within(df, label, [mixed(F.col(key)), F.col(key)], name)
+    return ranked.withColumn(name, F.pmod(F.col(name), F.lit(n)).cast("int"))
 
 
 def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -32,16 +32,16 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row, auc: by rank sums, ties counting half; null if a class is missing."""
-    below = F.sum(F.col("all") - F.col("pos")).over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    per = score_counts(df, score, label).withColumn("wins", F.col("pos") * (F.coalesce(below, F.lit(0)) + (F.col("all") - F.col("pos")) / 2.0))
-    both = F.sum("pos").cast("double") * F.sum(F.col("all") - F.col("pos"))
+    per = running_totals(score_counts(df, score, label).withColumn("neg", F.col("all") - F.col("pos")), [F.col("score")], {"neg": "upto"})
+    per = per.withColumn("wins", F.col("pos") * (F.col("upto") - F.col("neg") / 2.0))
+    both = F.sum("pos").cast("double") * F.sum("neg")
     return per.agg((F.sum("wins") / F.nullif(both, F.lit(0.0))).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row, ap: sum of precision times the step in recall over falling scores, tied scores taken together."""
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    per = score_counts(df, score, label).withColumn("part", F.col("pos") * F.sum("pos").over(w) / F.sum("all").over(w))
+    per = running_totals(score_counts(df, score, label), [F.col("score").desc()], {"pos": "pos_upto", "all": "all_upto"})
+    per = per.withColumn("part", F.col("pos") * F.col("pos_upto") / F.col("all_upto"))
     return per.agg((F.sum("part") / F.nullif(F.sum("pos").cast("double"), F.lit(0.0))).alias("ap"))
 
 
@@ -106,6 +106,12 @@ def with_geometry(predictions: DataFrame, geometry: DataFrame, key: str) -> Data
     return geometry.join(predictions, key)
 
 
+def export(predictions: DataFrame, geometry: DataFrame, key: str, oof: bool = False, geo: bool = True) -> DataFrame:
+    """What is exported: with oof the out-of-fold scores with fold and true label, else key and score; with geo beside the geometry."""
+    some = predictions if oof else predictions.select(key, "y_proba")
+    return with_geometry(some, geometry, key) if geo else some
+
+
 def importances(model, features: list[str], most: int = 30) -> list[tuple[str, float]]:
     return sorted(zip(features, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:most]
 

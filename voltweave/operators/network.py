@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltweave.functions import geometry as g
+from voltweave.operators import aggregate
 from voltweave.operators import spatial_join as sj
 from voltweave.operators.components import connected_components
 from voltweave.session import materialise, release
@@ -192,6 +193,21 @@ def stitch(edges: DataFrame, most: float, unlimited: tuple[str, ...] = ("osm_gri
     return both.groupBy("component", "part").agg(F.min_by("id", "place").alias("stitched_id"), F.count("*").alias("n"), F.sum("len").alias("len"))
 
 
+def heal(edges: DataFrame, protected: DataFrame | None = None) -> DataFrame:
+    """Merges chains through nodes of two ends of one class, however long: id (the least of its edges), n, len, is_grid, highway.
+
+    Nodes in `protected` (node) are kept. A merged edge is of the grid if one of its parts is. Chains are components of the
+    links at such nodes, so no chain is gathered into one task. Edges: id, a, b, len, highway, is_grid.
+    """
+    ends = edges.select("id", "highway", F.explode(F.array("a", "b")).alias("node"))
+    two = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("u"), F.max("id").alias("v"), F.count_distinct("highway").alias("classes"), F.count("highway").alias("with_class"))
+    links = two.where("n = 2 and u <> v and classes <= 1 and with_class in (0, 2)")
+    if protected is not None:
+        links = links.join(protected.select("node").distinct(), "node", "left_anti")
+    named = edges.join(connected_components(links.select("u", "v")), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    return named.groupBy(F.col("component").alias("id")).agg(F.count("*").alias("n"), F.sum("len").alias("len"), F.bool_or("is_grid").alias("is_grid"), F.min("highway").alias("highway"))
+
+
 # ---------------------------------------------------------------- paths
 
 
@@ -221,14 +237,62 @@ def nearest_targets(edges: DataFrame, sources: DataFrame, targets: DataFrame, n:
     return found.withColumn("k", rank).where(F.col("k") <= n).select("source", F.col("node").alias("target"), "dist", "path")
 
 
+def path_steps(paths: DataFrame) -> DataFrame:
+    """u, v, source, target: one row for each edge of each path, the lesser node first."""
+    step = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.least(F.col("path")[i - 1], F.col("path")[i]).alias("u"), F.greatest(F.col("path")[i - 1], F.col("path")[i]).alias("v")))
+    return paths.where(F.size("path") > 1).select("source", "target", F.explode(step).alias("e")).select("e.u", "e.v", "source", "target")
+
+
 def edge_usage(paths: DataFrame) -> DataFrame:
     """u, v, path_count, terminals: how many paths pass each edge, and the distinct ends of these paths."""
-    step = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.least(F.col("path")[i - 1], F.col("path")[i]).alias("u"), F.greatest(F.col("path")[i - 1], F.col("path")[i]).alias("v")))
-    steps = paths.where(F.size("path") > 1).select("source", "target", F.explode(step).alias("e")).select("e.u", "e.v", "source", "target")
+    steps = path_steps(paths)
     ends = steps.select("u", "v", F.explode(F.array("source", "target")).alias("t")).groupBy("u", "v").agg(F.count_distinct("t").alias("terminals"))
     return steps.groupBy("u", "v").agg(F.count("*").alias("path_count")).join(ends, ["u", "v"])
 
 
+def passes(edges: DataFrame, blocked: DataFrame, substations: DataFrame, clusters: DataFrame, near: tuple[int, int, int, int, int] = (2, 25, 2, 15, 2)) -> DataFrame:
+    """pass, source, target, dist, path of the three passes of shortest paths.
+
+    1: from every cluster to its nearest substations and to its nearest clusters, on all edges; 2: the same, with other
+    numbers, on the edges that aren't blocked (u, v); 3: on these from every minor substation to its nearest major ones.
+    substations: node, major; clusters: node. `near` gives the numbers, in this order.
+    """
+    ends = lambda df, name: df.select(F.col("node").alias(name)).distinct()
+    low, high = F.least("u", "v"), F.greatest("u", "v")
+    shut = blocked.select(low.alias("_u"), high.alias("_v")).distinct()
+    open_ = materialise(edges.join(shut, (low == F.col("_u")) & (high == F.col("_v")), "left_anti"), "passes-open")
+    out = []
+    for number, graph, k in ((1, edges, near[:2]), (2, open_, near[2:4])):
+        for targets, n, other in ((substations, k[0], 0), (clusters, k[1], 1)):
+            found = nearest_targets(graph, ends(clusters, "source"), ends(targets, "target"), n + other)
+            out.append(found.where("source <> target").withColumn("pass", F.lit(number)))
+    found = nearest_targets(open_, ends(substations.where("not major"), "source"), ends(substations.where("major"), "target"), near[4])
+    out.append(found.where("source <> target").withColumn("pass", F.lit(3)))
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole.select("pass", "source", "target", "dist", "path")
+
+
+def path_stats(edges: DataFrame, paths: DataFrame, classes: DataFrame) -> DataFrame:
+    """edges (u, v, ...) with twelve columns of path use, and whether any path uses them.
+
+    For each pass N: pN_count paths, pN_terminals distinct ends of them, pN_entropy (bits) and pN_mode of the ends' classes,
+    where an end without a class is `unknown`; 0 and null without any path. classes: node, cls.
+    """
+    out = edges.withColumns({"_u": F.least("u", "v"), "_v": F.greatest("u", "v")})
+    of = classes.select(F.col("node").alias("t"), F.col("cls"))
+    for n in (1, 2, 3):
+        some = paths.where(F.col("pass") == n)
+        use = edge_usage(some).toDF("_u", "_v", f"p{n}_count", f"p{n}_terminals")
+        ends = path_steps(some).select(F.struct("u", "v").alias("e"), F.explode(F.array("source", "target")).alias("t")).distinct()
+        mixed = aggregate.mode_and_entropy(ends.join(of, "t", "left").withColumn("cls", F.coalesce("cls", F.lit("unknown"))), "e", "cls", f"p{n}_mode")
+        mixed = mixed.select(F.col("e.u").alias("_u"), F.col("e.v").alias("_v"), F.col("entropy").alias(f"p{n}_entropy"), f"p{n}_mode")
+        out = out.join(use, ["_u", "_v"], "left").join(mixed, ["_u", "_v"], "left")
+    out = out.na.fill(0, [f"p{n}_{c}" for n in (1, 2, 3) for c in ("count", "terminals")]).na.fill(0.0, [f"p{n}_entropy" for n in (1, 2, 3)])
+    return out.drop("_u", "_v").withColumn("is_used_by_any_path", (F.col("p1_count") + F.col("p2_count") + F.col("p3_count") > 0).cast("int"))
+
+
 def remove_blocked(edges: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
     """Drops the edges (id, x1 to y2) whose straight chord touches a zone's box."""
     lo, hi = g.clip_interval("l_x1", "l_y1", "l_x2", "l_y2", "r_minx", "r_miny", "r_maxx", "r_maxy")

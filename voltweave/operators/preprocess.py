@@ -1,6 +1,6 @@
 """Feature preparation: reports, column classes, and transforms that are fitted once and applied anywhere.
 
-Quantiles are exact (percentile interpolates linearly), and all columns' statistics come from one aggregation. What is fitted is
+Quantiles are exact and interpolated linearly, and all columns' come from one ordering of their values over partitions. What is fitted is
 a small table of numbers per column, so applying it is a projection of literals.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from voltweave.operators.ranking import quantiles
+
 CLIP = (0.001, 0.999)
 
 
@@ -79,18 +81,17 @@ class Scaling:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], clip: bool = True, fallback: dict[str, str] | None = None, pct_words: tuple[str, ...] = ("pct", "prob")) -> Scaling:
-        """Classes come from the data before filling, statistics from the filled values; two aggregations in all."""
+        """Classes come from the data before filling, statistics from the filled values."""
         out = cls(column_classes(df, columns, pct_words), fallback=fallback or {})
         values = filled(columns, fallback)
         if clip:
             some = [c for c in columns if out.classes[c] == "continuous"]
             if some:
-                row = df.select(*[values[c].alias(c) for c in some]).agg(*[F.percentile(c, F.array(*map(F.lit, CLIP))).alias(c) for c in some]).first()
-                out.bounds = {c: (row[c][0], row[c][1]) for c in some if row[c] is not None}
+                out.bounds = {c: (low, high) for c, (low, high) in quantiles(df.select(*[values[c].alias(c) for c in some]), some, list(CLIP)).items()}
         logged = out._logged(values)
-        row = df.select(*[logged[c].alias(c) for c in columns]).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+        found = quantiles(df.select(*[logged[c].alias(c) for c in columns]), columns, [0.25, 0.5, 0.75])
         for c in columns:
-            low, mid, high = row[c] or (0.0, 0.0, 0.0)
+            low, mid, high = found.get(c, (0.0, 0.0, 0.0))
             out.medians[c], out.ranges[c] = mid, (high - low) or 1.0
         return out
 

@@ -7,9 +7,12 @@ look-ups and a box four, however many pixels they hold.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltweave.operators import spatial_join as sj
 from voltweave.operators.components import connected_components
 
 
@@ -133,3 +136,30 @@ def scaled(pixels: DataFrame, kind: str, top: float | None = None) -> Column:
     else:
         out = F.log1p(F.greatest(v, F.lit(0.0))) / F.lit(top if top else 1.0)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(out, F.lit(0.0))))
+
+
+def window(pixels: DataFrame, minx: float, miny: float, maxx: float, maxy: float, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """The pixels that a rectangle touches, by a range of rows and columns that reaches the scan."""
+    low = lambda v, o: math.floor((v - o) / res)
+    high = lambda v, o: math.ceil((v - o) / res) - 1
+    return pixels.where(F.col("row").between(low(miny, y0), high(maxy, y0)) & F.col("col").between(low(minx, x0), high(maxx, x0)))
+
+
+def any_positive(zones: DataFrame, pixels: DataFrame, res: float, name: str = "present") -> DataFrame:
+    """id and 1 if a pixel above 0 has its centre in the zone's box, else 0. Zones: id, minx to maxy."""
+    centre = lambda c: (F.col(c) + 0.5) * res
+    spots = sj.boxed_points(pixels.where("v > 0").select(F.struct("row", "col").alias("id"), centre("col").alias("x"), centre("row").alias("y")))
+    return sj.flag_matches(zones.select("id", "minx", "miny", "maxx", "maxy"), "id", sj.box_pairs(zones, spots, 500.0), name).select("id", name)
+
+
+def volume(cells: DataFrame, channels: list[str], cols: int) -> DataFrame:
+    """channel, row, values: each row of each channel as an array of cols numbers, 0 where there is no cell.
+
+    Cells: id, row, col and a column per channel. Where several cells fall on one place the last by id wins. Rows without a
+    cell are left out: a reader fills them with zeros. Cells without a place, or beside the extent, don't count.
+    """
+    inside = F.col("row").isNotNull() & F.col("col").between(0, cols - 1)
+    last = cells.where(inside).groupBy("row", "col").agg(F.max_by(F.struct(*channels), "id").alias("v")).select("row", "col", "v.*")
+    long = last.unpivot(["row", "col"], [F.col(c).cast("double").alias(c) for c in channels], "channel", "value").where("value is not null")
+    places = long.groupBy("channel", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"))
+    return places.select("channel", "row", F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda i: F.coalesce(F.element_at("m", i.cast(last.schema["col"].dataType)), F.lit(0.0))).alias("values"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltweave.functions import geometry as g
+from voltweave.operators import aggregate
 from voltweave.operators import spatial_join as sj
-from voltweave.operators.ranking import dense_rank_global
+from voltweave.operators.ranking import dense_rank_global, rank_within, running_totals
+from voltweave.session import materialise
 
 
 def mixed(key: Column) -> Column:
@@ -45,8 +47,7 @@ def renumbered(df: DataFrame, order: list[Column], name: str, pattern: str | Non
 def balanced(rows: DataFrame, label: str, key: str) -> DataFrame:
     """As many rows of each label as the rarest has, those with the smallest hash of the key."""
     least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
-    w = Window.partitionBy(label).orderBy(mixed(F.col(key)), key)
-    return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= least).select(*rows.columns)
+    return rank_within(rows, label, [mixed(F.col(key)), F.col(key)], "_k").where(F.col("_k") < least).select(*rows.columns)
 
 
 def block_split(cells: DataFrame, size: int, share: float) -> DataFrame:
@@ -82,27 +83,37 @@ def budget(area_km2: Column, per_1000: float, factor: float, least: int) -> Colu
 
 
 def along_lines(lines: DataFrame, n: int, radius: float) -> DataFrame:
-    """k, line_id, x, y: n samples on lines by length, with replacement, moved by up to radius at any angle.
+    """k, line_id, x, y: n samples on lines, drawn by length with replacement, moved by up to radius at any angle.
 
-    Each line gets the numbers that its stretch of the running length covers, so no range join is needed.
+    Sample k lies at a place drawn from the running length of all lines (in the order of their ids). The running length is cut
+    into as many cells as there are lines; lines and samples meet by cell, so no range join is needed. Lines without a length
+    get no sample, and where none has one there are none.
     """
-    ranked = dense_rank_global(lines.withColumn("len", g.segment_length()), [F.col("id")], "_k")
-    total = ranked.agg(F.sum("len")).first()[0] or 1.0
-    # n * (expected share) samples: the whole part for sure, the rest by a draw
-    want = F.lit(float(n)) * F.col("len") / F.lit(total)
-    count = (F.floor(want) + (unit(1, "id") < want - F.floor(want)).cast("long")).cast("int")
-    picked = ranked.withColumn("_n", count).where("_n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    at = g.interpolate("x1", "y1", "x2", "y2", unit(2, "id", "k"))
-    angle, r = unit(3, "id", "k") * 2 * math.pi, unit(4, "id", "k") * radius
-    return picked.withColumn("_p", at).select("k", F.col("id").alias("line_id"), (F.col("_p.x") + r * F.cos(angle)).alias("x"), (F.col("_p.y") + r * F.sin(angle)).alias("y"))
+    upto = running_totals(lines.withColumn("len", g.segment_length()).where("len > 0"), [F.col("id")], {"len": "_upto"})
+    size = upto.agg(F.max("_upto").alias("total"), F.count("*").alias("n")).first()
+    if not size["n"]:
+        return lines.select(F.lit(0).cast("long").alias("k"), F.col("id").alias("line_id"), F.col("x1").alias("x"), F.col("y1").alias("y")).limit(0)
+    cell = F.lit(size["total"] / size["n"])
+    at_cell = lambda c: F.least(F.floor(c / cell), F.lit(size["n"] - 1))
+    upto = upto.withColumn("_from", F.col("_upto") - F.col("len")).withColumn("_cell", F.explode(F.sequence(at_cell(F.col("_from")), at_cell(F.col("_upto")))))
+    draws = lines.sparkSession.range(n).select(F.col("id").alias("k"), (unit(1, "id") * size["total"]).alias("_at"))
+    hit = draws.withColumn("_cell", at_cell(F.col("_at"))).join(upto, "_cell").where("_at >= _from and _at < _upto")
+    # rounding may leave a sample between two lines, or with both: its line is the first that reaches it
+    first = draws.join(hit.groupBy("k").agg(F.min("_upto").alias("_upto")), "k", "left").withColumn("_upto", F.coalesce("_upto", F.lit(size["total"])))
+    picked = first.join(upto.drop("_cell").distinct(), "_upto").dropDuplicates(["k"])
+    spot = g.interpolate("x1", "y1", "x2", "y2", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("_at") - F.col("_from")) / F.col("len"))))
+    angle, r = unit(3, "k") * 2 * math.pi, unit(4, "k") * radius
+    return picked.withColumn("_p", spot).select("k", F.col("id").alias("line_id"), (F.col("_p.x") + r * F.cos(angle)).alias("x"), (F.col("_p.y") + r * F.sin(angle)).alias("y"))
 
 
 def in_polygons(spark: SparkSession, zones: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n points drawn uniformly in the union of boxes' envelope and kept where a box holds them, the first n by number.
 
-    Over-generates by the share that boxes cover, in rounds, until n are found.
+    Over-generates in rounds until n are found; fails if that takes 12, each four times the one before. Without a box there are none.
     """
     box = zones.agg(F.min("minx").alias("a"), F.min("miny").alias("b"), F.max("maxx").alias("c"), F.max("maxy").alias("d")).first()
+    if box["a"] is None or n == 0:
+        return spark.createDataFrame([], "id long, x double, y double")
     found, start, size = None, 0, 3 * n
     for _ in range(12):
         draws = spark.range(start, start + size)
@@ -112,5 +123,29 @@ def in_polygons(spark: SparkSession, zones: DataFrame, n: int, seed: int = 42) -
         if found.count() >= n:
             break
         start, size = start + size, size * 4
-    assert found is not None
+    else:
+        raise ValueError(f"the boxes cover too little of their envelope: {start} draws gave fewer than {n} points")
     return found.orderBy("id").limit(n)
+
+
+def training_points(spark: SparkSession, area: DataFrame, grid: DataFrame, roads: DataFrame, buildings: DataFrame, area_km2: float, per_1000: tuple[float, float, float] = (800.0, 800.0, 500.0), factor: float = 1.5, least: int = 100) -> DataFrame:
+    """point_id, x, y, buffer_m, label: as many points near the grid as away from it, from three draws.
+
+    Points are drawn along grid lines, along roads, and in the boxes of the area; those outside the area go. Buildings within
+    1 km set a point's buffer, from 450 m for none to 100 m for 600 and more; a point whose buffer reaches a grid line has
+    label 1. Of the more frequent label the rows with the least hashes stay. All draws are hashes, so reruns agree.
+    """
+    count = [max(least, math.floor(p * area_km2 / 1000 * factor)) for p in per_1000]
+    drawn = [
+        along_lines(grid, count[0], 50.0).select(F.lit(0).alias("kind"), "k", "x", "y"),
+        along_lines(roads, count[1], 50.0).select(F.lit(1).alias("kind"), "k", "x", "y"),
+        in_polygons(spark, area, count[2]).select(F.lit(2).alias("kind"), F.col("id").alias("k"), "x", "y"),
+    ]
+    points = sj.boxed_points(drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).withColumn("id", F.col("k") * 3 + F.col("kind")))
+    points = materialise(sj.with_match(points, "id", sj.box_pairs(points, area, 500.0)), "training-points")
+    homes = sj.count_matches(points, "id", sj.within_distance(points, sj.boxed_points(buildings), 1000.0, sj.point_distance()), "n")
+    homes = homes.withColumn("buffer_m", aggregate.interpolated(F.col("n"), 0, 600, 450.0, 100.0))
+    near = sj.within_distance(points, sj.boxed_segments(grid), 450.0, sj.point_line_distance()).groupBy(F.col("l_id").alias("id")).agg(F.min("dist").alias("dist"))
+    label = F.coalesce((F.col("dist") <= F.col("buffer_m")).cast("int"), F.lit(0))
+    rows = homes.join(near, "id", "left").select(F.col("id").alias("point_id"), "x", "y", "buffer_m", label.alias("label"))
+    return balanced(materialise(rows, "training-points"), "label", "point_id")

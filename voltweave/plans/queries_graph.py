@@ -12,6 +12,7 @@ from voltweave.operators import spatial_join as sj
 from voltweave.plans.layers import layer, with_layers
 from voltweave.plans.queries_join import _CROSS, clip_sql, point_segment_sql
 from voltweave.plans.registry import query
+from voltweave.session import materialise
 
 _G = """with recursive n as (select count(*) as n from part),
 e as (select p_partkey * 2 as row_id, p_partkey as u, (p_partkey * 7 + 3) % n as v, 1 + p_size as w, p_brand as highway from part, n
@@ -222,3 +223,38 @@ _ROUNDS = 24
 def prune_network(spark: SparkSession, d: str) -> DataFrame:
     """Segments in components, linked within 5 m, of three segments at least."""
     return net.prune(layer(spark, d, "v_segs"), 5.0, 3, 200.0).select("id", "component", "size")
+
+
+_CHAINS = _G + ", c as (select row_id as id, u as a, v as b, cast(w as double) as len, w % 2 = 0 as is_grid, 'road' as highway from e where row_id % 2 = 0)"
+
+
+@query(
+    _CHAINS
+    + f""", t as (select id, a as node from c union all select id, b from c), two as (select node, min(id) as u, max(id) as v from t group by node having count(*) = 2), l as (select u, v from two where u <> v and node not in (select p_partkey from part where p_size = 7)),
+    pr as materialized (select u, v from l union all select v, u from l), {labels_sql("c", "pr", _ROUNDS)}
+    select l{_ROUNDS}.c as id, count(*) as n, sum(len) as len, bool_or(is_grid) as is_grid from l{_ROUNDS} join c on c.id = l{_ROUNDS}.id group by l{_ROUNDS}.c"""
+)
+def healed_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Chains through nodes of two ends, merged whatever their length, but not at protected nodes.
+
+    The layer is that of the first edges of all parts: with the second ones no node would have two ends.
+    """
+    first = graph(spark, d, second=False)
+    edges = first.select(F.col("row_id").alias("id"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("w").cast("double").alias("len"), (F.col("w") % 2 == 0).alias("is_grid"), F.lit("road").alias("highway"))
+    kept = spark.read.parquet(f"{d}/part.parquet").where("p_size = 7").select(F.col("p_partkey").alias("node"))
+    return net.heal(edges, kept).select("id", "n", "len", "is_grid")
+
+
+@query()
+def edge_path_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve columns of path use over three passes, for every edge of the graph.
+
+    Clusters are the parts of size 7, substations those of size 50, the major ones of these have an even key; the blocked edges
+    are those of weight 13. Numbers of targets are smaller than a run's (2, 25, 2, 15, 2), as the clusters are few.
+    """
+    edges = net.simple_graph(graph(spark, d)).withColumn("w", F.col("w").cast("double"))
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    substations = parts.where("p_size = 50").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 2 == 0).alias("major"))
+    clusters = parts.where("p_size = 7").select(F.col("p_partkey").alias("node"))
+    paths = net.passes(edges, edges.where("w = 13"), substations, clusters, (2, 4, 2, 3, 2))
+    return net.path_stats(edges, materialise(paths, "passes"), parts.select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("cls")))

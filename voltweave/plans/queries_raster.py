@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltweave.operators import overlay
 from voltweave.operators import raster as ra
 from voltweave.operators import sampling
 from voltweave.operators import spatial_join as sj
+from voltweave.operators.ranking import quantiles
 from voltweave.plans.layers import RASTER_SQL, layer, raster, with_layers
 from voltweave.plans.registry import query
 
@@ -95,7 +99,7 @@ def raster_mask_clip(spark: SparkSession, d: str) -> DataFrame:
 def raster_norm(spark: SparkSession, d: str) -> DataFrame:
     """A column scaled by its log at the 99th percentile, clipped to [0, 1]."""
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("v"))
-    top = rows.agg(F.log1p(F.percentile("v", F.lit(0.99))).alias("t")).first()["t"]
+    top = math.log1p(quantiles(rows, ["v"], [0.99]).get("v", [0.0])[0])
     return rows.select("l_orderkey", "l_linenumber", F.round(ra.scaled(rows, "log_scale", top), 6).alias("v"))
 
 
@@ -144,3 +148,52 @@ def sample_budget(spark: SparkSession, d: str) -> DataFrame:
 def samples_along_lines(spark: SparkSession, d: str) -> DataFrame:
     """Points near the lines, as many as their length asks for, moved aside by up to 450 m; drawn by hashes."""
     return sampling.along_lines(layer(spark, d, "v_lines"), 2000, 450.0)
+
+
+@query(_P + " select row, col, v from pix where row between 12 and 58 and col between 30 and 99")
+def raster_window(spark: SparkSession, d: str) -> DataFrame:
+    """The pixels that a rectangle touches."""
+    return ra.window(raster(spark, d), 3000.0, 1250.0, 10000.0, 5801.0, RES)
+
+
+@query(_P + " select z.id, cast(count(p.v) > 0 as integer) as present from v_boxes z left join (select * from pix where v > 0) p on (p.col + 0.5) * 100 between z.minx and z.maxx and (p.row + 0.5) * 100 between z.miny and z.maxy group by z.id")
+def box_any_pixel(spark: SparkSession, d: str) -> DataFrame:
+    """Whether any pixel above 0 lies in a box."""
+    return ra.any_positive(layer(spark, d, "v_boxes"), raster(spark, d), RES)
+
+
+@query(
+    "with c as (select o_orderkey as id, o_custkey % 40 as row, o_orderkey % 50 as col, o_totalprice as price, cast(o_orderkey % 3 as double) as rank from orders), l as (select row, col, arg_max(price, id) as price, arg_max(rank, id) as rank from c group by row, col), u as (select 'price' as channel, row, col, price as value from l union all select 'rank', row, col, rank from l)"
+    " select channel, row, col, value from u where value <> 0"
+)
+def tensor_volume(spark: SparkSession, d: str) -> DataFrame:
+    """Two channels on a grid of 40 x 50 cells, the last order of each cell winning; its entries other than 0."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    cells = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("row"), (F.col("o_orderkey") % 50).alias("col"), F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 3).cast("double").alias("rank"))
+    full = ra.volume(cells, ["price", "rank"], 50).select("channel", "row", F.posexplode("values").alias("c", "value"))
+    return full.where("value <> 0").select("channel", "row", F.col("c").cast("long").alias("col"), "value")
+
+
+@query(
+    with_layers("v_boxes")
+    + """, g as (select unnest(range(0, 40)) as k), t as (select a.k * 40 + b.k as id, a.k * 500.0::double as minx, b.k * 500.0::double as miny, a.k * 500.0::double + 500 as maxx, b.k * 500.0::double + 500 as maxy from g a, g b),
+    h as (select distinct t.id, greatest(t.minx, b.minx) as x0, least(t.maxx, b.maxx) as x1, greatest(t.miny, b.miny) as y0, least(t.maxy, b.maxy) as y1 from t join v_boxes b on b.minx < t.maxx and b.maxx > t.minx and b.miny < t.maxy and b.maxy > t.miny),
+    e as (select distinct id, unnest([y0, y1]) as a from h), s as (select id, a, lead(a) over (partition by id order by a) as b from e),
+    c as (select s.id, s.a, s.b, x0, x1, max(x1) over (partition by s.id, s.a order by x0, x1 rows between unbounded preceding and 1 preceding) as reach from s join h on s.id = h.id and y0 <= s.a and y1 >= s.b where s.b is not null),
+    f as (select id, sum((b - a) * greatest(0, x1 - greatest(x0, coalesce(reach, x0)))) / 250000 as share from c group by id)
+    select t.id, round(coalesce(share, 0), 8) as share, coalesce(share, 0) >= 0.05 as kept, coalesce(share, 0) < 0.3 as free from t left join f using (id)"""
+)
+def tile_covered_share(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each 500 m tile that the union of boxes covers, and the two filters by it."""
+    tiles = sampling.lattice(spark, 0.0, 0.0, 20000.0, 20000.0, 500.0).select(F.col("tile_id").alias("id"), "minx", "miny", "maxx", "maxy")
+    boxes = layer(spark, d, "v_boxes")
+    kept, free = (f(tiles, boxes, 500.0, n).select("id").withColumn(c, F.lit(True)) for f, n, c in ((overlay.in_extent, 0.05, "kept"), (overlay.not_excluded, 0.3, "free")))
+    out = overlay.covered_share(tiles, boxes, 500.0).select("id", F.round("share", 8).alias("share")).join(kept, "id", "left").join(free, "id", "left")
+    return out.na.fill(False, ["kept", "free"])
+
+
+@query()
+def training_points(spark: SparkSession, d: str) -> DataFrame:
+    """Balanced training points near and away from the lines, drawn along lines and segments and in large boxes."""
+    area = layer(spark, d, "v_sites").select("id", (F.col("x") - 4000).alias("minx"), (F.col("y") - 4000).alias("miny"), (F.col("x") + 4000).alias("maxx"), (F.col("y") + 4000).alias("maxy"))
+    return sampling.training_points(spark, area, layer(spark, d, "v_lines"), layer(spark, d, "v_segs"), layer(spark, d, "v_bldg"), 400.0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltweave.functions import scalar as s
+from voltweave.plans import boundaries
 from voltweave.plans.registry import query
 
 _VOLT = "case p_partkey % 6 when 0 then null when 1 then '' when 2 then '69000' when 3 then '13800;69000' when 4 then 'low; ' || cast(p_size as varchar) || '000' else cast(p_size as varchar) || '000; 115000;69kV' end"
@@ -92,3 +93,10 @@ def key_set_operations(spark: SparkSession, d: str) -> DataFrame:
     parts = spark.read.parquet(f"{d}/part.parquet")
     both = sold.intersect(parts.where("p_size > 25").select(F.col("p_partkey").alias("id"))).withColumn("side", F.lit("both"))
     return both.unionByName(parts.select(F.col("p_partkey").alias("id")).subtract(sold).withColumn("side", F.lit("unsold")))
+
+
+@query("select n_nationkey, n_regionkey from nation where lower(trim(n_name)) = 'nation_7'")
+def boundary_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a layer that a name picks, case aside."""
+    nations = spark.read.parquet(f"{d}/nation.parquet").withColumnRenamed("n_name", "name")
+    return boundaries.named_rows(nations, " Nation_7 ").select("n_nationkey", "n_regionkey")

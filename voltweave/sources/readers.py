@@ -28,6 +28,10 @@ from voltweave.sources import codecs
 FEATURE = f"source_file string, row_id long, properties map<string,string>, geom_ {codecs.GEOMETRY}"
 
 
+#: Bytes of files in one Arrow batch, unless one file has more.
+FILE_BYTES = 32 << 20
+
+
 def parquet_layer(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame | None:
     """A (Geo)Parquet layer with its geometry decoded."""
     try:
@@ -39,7 +43,9 @@ def parquet_layer(spark: SparkSession, path: str, missing_ok: bool = False) -> D
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # files in a batch
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"  # read when the plan runs; whole files go one by one beyond it
+    if not 0 < int(spark.conf.get(key, None) or 0) <= FILE_BYTES:
+        spark.conf.set(key, str(FILE_BYTES))
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -83,3 +84,19 @@ def save_model(spark: SparkSession, model, folder: str, stem: str = "model") ->
 
 def layer_path(base: str, slug: str, category: str, stem: str) -> str:
     return f"{base}/{slug}/{category.upper()}/{stem}"
+
+
+def write_network(path: str, edges: DataFrame, nodes: DataFrame, terminals: DataFrame) -> None:
+    """The three layers of a network, each a GeoJSON-lines folder under one path; geometries are in geom_."""
+    for name, layer in (("edges", edges), ("nodes", nodes), ("terminals", terminals)):
+        write_geojson(layer, f"{path}/{name}")
+
+
+def write_tensor(volume: DataFrame, path: str, meta: dict) -> None:
+    """A volume (channel, row, values) as Parquet, a folder per channel, and what describes it as JSON."""
+    volume.write.mode("overwrite").partitionBy("channel").parquet(f"{path}/volume")
+    volume.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def read_tensor(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/volume"), json.loads(spark.read.text(f"{path}/meta").first()[0])
