@@ -145,7 +145,7 @@ def score(model: Model, margins: Margins, text: str) -> float:
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fits on a bounded, hash-picked sample of the labelled documents outside fold 0."""
     known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).select("doc_id", "toxic").distinct()
-    sample = stratified(known, "toxic", "doc_id", TRAIN_DOCS)
+    sample = F.broadcast(bounded(stratified(known, "toxic", "doc_id", TRAIN_DOCS), 3 * TRAIN_DOCS))  # at most so many ids
     texts = docs.select("doc_id", "text").where(F.char_length(F.coalesce("text", F.lit(""))) <= TRAIN_CHARS)
     rows = bounded(texts.join(sample, "doc_id").select("text", "toxic").distinct(), 3 * TRAIN_DOCS).collect()
     return fit(sorted((r["text"] or "", int(r["toxic"])) for r in rows))
