@@ -63,7 +63,8 @@ class _Adam:
         self.t += 1
         self.m += 0.1 * (grad - self.m)
         self.v += 0.01 * (grad * grad - self.v)
-        return RATE * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
+        rate = RATE * (1 - 0.98 * self.t / STEPS)  # falls, lest the fit ends on a spike of the loss
+        return rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
 
 
 def weights_of(counts: np.ndarray) -> np.ndarray:
