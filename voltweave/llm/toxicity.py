@@ -35,7 +35,7 @@ BUCKETS, DIM = 1 << 16, 8
 #: Zero vectors that every average holds, and occurrences of a word that count.
 BLANKS, REPEATS = 100, 3
 #: SCALE makes up for the smallness of an average of many words.
-SCALE, STEPS, RATE, SHRINK = 100.0, 200, 0.05, 1e-4
+SCALE, STEPS, RATE, SHRINK = 100.0, 400, 0.05, 1e-4
 CACHE_WORDS = 250_000
 WORD = re.compile(r"[^\W_]+")
 
