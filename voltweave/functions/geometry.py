@@ -73,6 +73,33 @@ def segment_distance(a: str, b: str) -> Column:
     return F.when(F.coalesce(segments_cross(a, b), F.lit(False)), F.lit(0.0)).otherwise(F.least(*ends))
 
 
+def segments_near(a: str, b: str, reach: float) -> Column:
+    """Whether two segments are within reach of each other: by products only, which are exact for whole coordinates.
+
+    They are if they cross, each with its ends on both sides of the other, or if an end of one is near the other: near one of
+    its ends, or near its line with the foot inside.
+    """
+    square = F.lit(float(reach * reach))
+    near, apart = [], []
+    for p, q in ((a, b), (b, a)):
+        dx, dy, sides = F.col(f"{q}x2") - F.col(f"{q}x1"), F.col(f"{q}y2") - F.col(f"{q}y1"), []
+        for i in (1, 2):
+            ex, ey = F.col(f"{p}x{i}") - F.col(f"{q}x1"), F.col(f"{p}y{i}") - F.col(f"{q}y1")
+            dot, cross, long = ex * dx + ey * dy, ex * dy - ey * dx, dx * dx + dy * dy
+            inside = (dot > 0) & (dot < long) & (cross * cross <= square * long)
+            near.append(inside)
+            sides.append(cross)
+        apart.append(sides[0] * sides[1] < 0)
+    for i in (1, 2):
+        for j in (1, 2):
+            ex, ey = F.col(f"{a}x{i}") - F.col(f"{b}x{j}"), F.col(f"{a}y{i}") - F.col(f"{b}y{j}")
+            near.append(ex * ex + ey * ey <= square)
+    out = apart[0] & apart[1]
+    for x in near:
+        out = out | x
+    return out
+
+
 def clip_interval(x1, y1, x2, y2, minx, miny, maxx, maxy) -> tuple[Column, Column]:
     """Liang-Barsky: first and last share of a segment inside a box; the first exceeds the last if they don't meet."""
     x1, y1, x2, y2, minx, miny, maxx, maxy = map(col, (x1, y1, x2, y2, minx, miny, maxx, maxy))

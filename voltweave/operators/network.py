@@ -6,6 +6,8 @@ is a rule about row_id. Chains of unbounded length are walked by component, each
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from voltweave.functions import geometry as g
 from voltweave.operators import aggregate
 from voltweave.operators import spatial_join as sj
 from voltweave.operators.components import connected_components
-from voltweave.session import materialise, release
+from voltweave.session import materialise, release, setting
 
 # ---------------------------------------------------------------- ids and tables
 
@@ -94,13 +96,14 @@ def remove_stubs(segs: DataFrame, classes: list[str], shorter: float, reach: flo
 
 def touching_pairs(segs: DataFrame, reach: float, cell: float) -> DataFrame:
     boxed = sj.boxed_segments(segs.select("id", "x1", "y1", "x2", "y2"))
-    once = sj.box_pairs(boxed, boxed, cell, reach).where("l_id < r_id")  # before the distance, which costs most
-    return once.where(g.segment_distance("l_", "r_") <= reach)
+    return sj.box_pairs(boxed, boxed, cell, reach).where("l_id < r_id").where(g.segments_near("l_", "r_", reach))
 
 
 def prune(segs: DataFrame, reach: float, least: int, cell: float) -> DataFrame:
     """Keeps the segments of components, linked within reach, of at least so many segments; a lone segment is one of size 1."""
-    named = segs.join(connected_components(touching_pairs(segs, reach, cell), "l_id", "r_id"), F.col("id") == F.col("node"), "left")
+    with setting(segs.sparkSession, "spark.sql.codegen.hugeMethodLimit", "8000"):  # the JVM only interprets longer methods, such as this join's
+        linked = connected_components(touching_pairs(segs, reach, cell), "l_id", "r_id")
+    named = segs.join(linked, F.col("id") == F.col("node"), "left")
     named = named.withColumn("component", F.coalesce("component", "id")).drop("node")
     size = named.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     return named.join(size, "component")
@@ -211,30 +214,82 @@ def heal(edges: DataFrame, protected: DataFrame | None = None) -> DataFrame:
 # ---------------------------------------------------------------- paths
 
 
+#: Undirected edges up to which each task holds the whole graph and searches its sources one by one; beyond it all sources
+#: advance in rounds of joins, with the same result.
+HELD_EDGES = 500_000
+
+
 def nearest_targets(edges: DataFrame, sources: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     """source, target, dist, path: the n nearest targets of each source; the source itself counts if it is a target.
 
-    All sources advance together: each round relaxes the edges at the nodes that improved, for all sources at once, and a
-    source stops where no open node is nearer than its n-th target. Nothing is broadcast, so the graph may be of any size. Ties
-    go to the lexicographically smaller path. edges: u, v, w (undirected, w > 0); sources: source; targets: target.
+    Ties go to the lexicographically smaller path. edges: u, v, w (undirected, w > 0); sources: source; targets: target. A graph
+    of at most HELD_EDGES edges is broadcast, and sources are spread over tasks; a larger one stays distributed. Edges with a
+    null end or weight don't exist.
     """
-    both = materialise(edges.select("u", "v", "w").union(edges.select("v", "u", "w")), "paths-edges")
-    state = materialise(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.array("source").alias("path"), F.lit(True).alias("new")).distinct(), "paths")
+    goal = targets.select(F.col("target").alias("v")).where("v is not null").distinct().withColumn("goal", F.lit(True))
+    known = edges.where("u is not null and v is not null and w is not null").select("u", "v", F.col("w").cast("double").alias("w"))
+    marked = known.union(known.select("v", "u", "w")).join(goal, "v", "left").select("u", "v", "w", F.coalesce("goal", F.lit(False)).alias("goal"))
+    both = materialise(marked, "paths-edges")
+    starts = sources.select(F.col("source").alias("v")).where("v is not null").distinct().join(goal, "v", "left").select(F.col("v").alias("source"), F.coalesce("goal", F.lit(False)).alias("goal"))
+    if both.count() <= 2 * HELD_EDGES:
+        return _nearest_by_source(both, starts, n)
+    return _nearest_by_rounds(both, starts, n)
+
+
+def _nearest_by_source(both: DataFrame, starts: DataFrame, n: int) -> DataFrame:
+    """nearest_targets by a search from each source over a broadcast graph of checked size."""
+    rows = both.toArrow()
+    around: dict = {}
+    for u, v, w in zip(rows["u"].to_pylist(), rows["v"].to_pylist(), rows["w"].to_pylist(), strict=True):
+        around.setdefault(u, []).append((v, w))
+    goals = {v for v, goal in zip(rows["v"].to_pylist(), rows["goal"].to_pylist(), strict=True) if goal}
+    graph = both.sparkSession.sparkContext.broadcast((around, goals))
+
+    def search(batches):
+        around, goals = graph.value
+        for pdf in batches:
+            out = []
+            for source, goal in zip(pdf["source"].tolist(), pdf["goal"].tolist(), strict=True):
+                heap, settled, left = [(0.0, (source,))], set(), n
+                while heap and left > 0:  # paths end in their node and tell equal distances apart
+                    dist, path = heapq.heappop(heap)
+                    node = path[-1]
+                    if node in settled:
+                        continue
+                    settled.add(node)
+                    if node in goals or (goal and node == source):
+                        out.append((source, node, dist, list(path)))
+                        left -= 1
+                    for other, w in around.get(node, ()):
+                        if other not in settled:
+                            heapq.heappush(heap, (dist + w, (*path, other)))
+            yield pd.DataFrame(out, columns=["source", "target", "dist", "path"])
+
+    kind = starts.schema["source"].dataType.simpleString()
+    spread = starts.repartition(both.sparkSession.sparkContext.defaultParallelism, "source")
+    return spread.mapInPandas(search, f"source {kind}, target {kind}, dist double, path array<{kind}>")
+
+
+def _nearest_by_rounds(both: DataFrame, starts: DataFrame, n: int) -> DataFrame:
+    """nearest_targets with all sources advancing together: each round relaxes the edges at the nodes that improved.
+
+    A source stops where no open node is nearer than its n-th target, and keeps nothing beyond that.
+    """
+    state = materialise(starts.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.array("source").alias("path"), "goal", F.lit(True).alias("new")), "paths")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("dist", "path"))
     while True:
-        found = state.join(targets.select(F.col("target").alias("node")).distinct(), "node", "left_semi")
-        rank = F.row_number().over(Window.partitionBy("source").orderBy("dist", "path"))
-        limit = found.withColumn("k", rank).where(F.col("k") == n).select("source", F.col("dist").alias("limit"))
-        open_ = state.where("new").join(limit, "source", "left").where(F.col("limit").isNull() | (F.col("dist") < F.col("limit")))
-        step = open_.join(both, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.concat("path", F.array("v")).alias("path"), F.lit(1).alias("fresh"))
-        merged = state.select("source", "node", "dist", "path", F.lit(0).alias("fresh")).unionByName(step).groupBy("source", "node").agg(F.min(F.struct("dist", "path", "fresh")).alias("b"))
-        after = materialise(merged.select("source", "node", "b.dist", "b.path", (F.col("b.fresh") == 1).alias("new")), "paths")
+        limit = state.where("goal").withColumn("k", rank).where(F.col("k") == n).select("source", F.col("dist").alias("limit"))
+        within = state.join(limit, "source", "left").where("limit is null or dist <= limit")
+        open_ = within.where("new and (limit is null or dist < limit)").withColumnRenamed("goal", "_goal")
+        step = open_.join(both, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.concat("path", F.array("v")).alias("path"), "goal", F.lit(1).alias("fresh"), "limit")
+        step = step.where("limit is null or dist <= limit").drop("limit")
+        merged = within.select("source", "node", "dist", "path", "goal", F.lit(0).alias("fresh")).unionByName(step).groupBy("source", "node").agg(F.min(F.struct("dist", "path", "fresh")).alias("b"), F.bool_or("goal").alias("goal"))
+        after = materialise(merged.select("source", "node", "b.dist", "b.path", "goal", (F.col("b.fresh") == 1).alias("new")), "paths")
         release(state)
         state = after
         if state.where("new").isEmpty():
             break
-    found = state.join(targets.select(F.col("target").alias("node")).distinct(), "node", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("dist", "path"))
-    return found.withColumn("k", rank).where(F.col("k") <= n).select("source", F.col("node").alias("target"), "dist", "path")
+    return state.where("goal").withColumn("k", rank).where(F.col("k") <= n).select("source", F.col("node").alias("target"), "dist", "path")
 
 
 def path_steps(paths: DataFrame) -> DataFrame:

@@ -61,6 +61,34 @@ def count_matches(left: DataFrame, key: str, pairs: DataFrame, name: str = "n")
     return left.join(n, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
 
 
+def radius_count(left: DataFrame, right: DataFrame, radius: float, key: str = "id", name: str = "n", parts: int = 8) -> DataFrame:
+    """left points with the number of right points at most radius away, 0 where there is none.
+
+    Cells of radius / parts that lie wholly inside the circle give their counts, made once; only the points of the cells on its
+    rim are tested one by one.
+    """
+    size = F.lit(float(radius) / parts)
+    at = lambda c: F.floor(F.col(c) / size)
+    cells = right.where("x is not null and y is not null").select(at("x").alias("_i"), at("y").alias("_j"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    around = F.sequence(F.lit(-parts - 1), F.lit(parts + 1))
+    whole = left.select(F.col(key).alias("_key"), F.col("x").alias("_px"), F.col("y").alias("_py"), F.explode(around).alias("_di")).select("*", F.explode(around).alias("_dj"))
+    whole = whole.select("_key", "_px", "_py", (at("_px") + F.col("_di")).alias("_i"), (at("_py") + F.col("_dj")).alias("_j"))
+    near, far = [], []
+    for p, c in (("_px", "_i"), ("_py", "_j")):
+        low, high = F.col(c) * size - F.col(p), (F.col(c) + 1) * size - F.col(p)
+        near.append(F.greatest(low, -high, F.lit(0.0)))
+        far.append(F.greatest(-low, high))
+    slack = radius * 1e-9  # a cell on the edge counts as one on the rim, which is tested exactly
+    inside = far[0] * far[0] + far[1] * far[1] <= (radius - slack) ** 2
+    outside = near[0] * near[0] + near[1] * near[1] > (radius + slack) ** 2
+    met = whole.where(~outside).withColumn("_inside", inside)
+    counts = cells.groupBy("_i", "_j").agg(F.count("*").alias("_c"))
+    core = met.where("_inside").join(counts, ["_i", "_j"]).groupBy("_key").agg(F.sum("_c").alias("_c"))
+    rim = met.where("not _inside").join(cells, ["_i", "_j"]).where(distance("_px", "_py", "_x", "_y") <= F.lit(float(radius))).groupBy("_key").agg(F.count("*").alias("_c"))
+    total = core.unionByName(rim).groupBy("_key").agg(F.sum("_c").alias("_c"))
+    return left.join(total, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce("_c", F.lit(0)).cast("long")).drop("_key", "_c")
+
+
 def flag_matches(left: DataFrame, key: str, pairs: DataFrame, name: str = "hit") -> DataFrame:
     """left with 1 where it has a pair, else 0."""
     hit = pairs.select(F.col("l_" + key).alias(key)).distinct().withColumn(name, F.lit(1))

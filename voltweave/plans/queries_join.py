@@ -142,8 +142,7 @@ _BD = "((p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y))"
 @query(with_layers("v_pts", "v_bldg") + f" select p.id, count(b.id) as n from v_pts p left join v_bldg b on sqrt({_BD}) <= 1000 group by p.id")
 def radius_count_1km(spark: SparkSession, d: str) -> DataFrame:
     pts = _pts(spark, d)
-    pairs = sj.within_distance(pts, sj.boxed_points(layer(spark, d, "v_bldg")), 1000.0, sj.point_distance())
-    return sj.count_matches(pts, "id", pairs).select("id", "n")
+    return sj.radius_count(pts, layer(spark, d, "v_bldg"), 1000.0).select("id", "n")
 
 
 @query(
