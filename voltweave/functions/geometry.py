@@ -122,7 +122,8 @@ def capsule_interval(x1, y1, x2, y2, px, py, radius) -> tuple[Column, Column]:
     disc = b * b - a * c
     root, safe = F.sqrt(F.when(disc >= 0, disc)), F.when(a != 0, a)
     lo, hi = F.greatest(F.lit(0.0), (-b - root) / safe), F.least(F.lit(1.0), (-b + root) / safe)
-    return F.when(lo <= hi, lo), F.when(lo <= hi, hi)
+    met = F.when(a == 0, c <= 0).otherwise(disc >= 0) & (lo <= hi)  # greatest and least skip nulls, so a miss must be told apart
+    return F.when(met, lo), F.when(met, hi)
 
 
 def overlap_area(a: str = "l_", b: str = "r_") -> Column:

@@ -97,7 +97,20 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
     return net.nearest_targets(edges, sources, targets, 3)
 
 
-@query()
+def _relaxed_paths() -> str:
+    out = ["b as (select u, v, cast(w as double) as w from s union all select v, u, cast(w as double) from s)", "d0 as (select p_partkey as source, p_partkey as node, {'dist': 0.0::double, 'path': [p_partkey]} as best from part where p_size = 7)"]
+    for i in range(_STEPS):
+        step = f"select d.source, b.v as node, {{'dist': d.best.dist + b.w, 'path': list_append(d.best.path, b.v)}} as best from d{i} d join b on d.node = b.u"
+        out.append(f"d{i + 1} as materialized (select source, node, min(best) as best from (select source, node, best from d{i} union all {step}) group by source, node)")
+    return ", ".join(out)
+
+
+@query(
+    _G
+    + f""", {_SIMPLE}, {_relaxed_paths()}, t as (select source, node as target, best.path as path, row_number() over (partition by source order by best) as k from d{_STEPS} where node in (select p_partkey from part where p_size = 50)),
+    p as (select source, target, path, unnest(range(1, len(path))) as i from t where k <= 3), g as (select source, target, least(path[i], path[i + 1]) as u, greatest(path[i], path[i + 1]) as v from p)
+    select u, v, count(*) as path_count, len(list_distinct(list_concat(list(source), list(target)))) as terminals from g group by u, v"""
+)
 def edge_usage(spark: SparkSession, d: str) -> DataFrame:
     """How many shortest paths pass each edge, and how many distinct terminals they have. Equal paths are chosen by node order."""
     return net.edge_usage(_paths(spark, d))
@@ -157,7 +170,27 @@ def grid_attachments(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy(F.col("r_id").alias("line_id")).agg(F.count("*").alias("n"))
 
 
-@query()
+_AXES = "((p.{x} - p.sx1) * p.dx + (p.{y} - p.sy1) * p.dy) / p.n as {u}, ((p.{y} - p.sy1) * p.dx - (p.{x} - p.sx1) * p.dy) / p.n as {v}"
+_STRIP = clip_sql("k", "k")
+
+
+def _disc_sql(i: int, radius: float) -> str:
+    """id, lo, hi: the share of each line of p within a radius of an end of the other segment."""
+    a, b, c = "(lx * lx + ly * ly)", "(lx * fx + ly * fy)", f"(fx * fx + fy * fy - {radius * radius})"
+    root = f"sqrt(case when {b} * {b} - {a} * {c} >= 0 then {b} * {b} - {a} * {c} end)"
+    return f"select id, greatest(0.0, (-{b} - {root}) / nullif({a}, 0)) as lo, least(1.0, (-{b} + {root}) / nullif({a}, 0)) as hi from (select id, x2 - x1 as lx, y2 - y1 as ly, x1 - sx{i} as fx, y1 - sy{i} as fy from p) q where {b} * {b} - {a} * {c} >= 0"
+
+
+@query(
+    with_layers("v_lines", "v_segs")
+    + f""", p as (select l.id, l.x1, l.y1, l.x2, l.y2, s.x1 as sx1, s.y1 as sy1, s.x2 as sx2, s.y2 as sy2, s.x2 - s.x1 as dx, s.y2 - s.y1 as dy, sqrt((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1)) as n from v_lines l join v_segs s
+    on least(l.x1, l.x2) - 60 <= greatest(s.x1, s.x2) and least(s.x1, s.x2) <= greatest(l.x1, l.x2) + 60 and least(l.y1, l.y2) - 60 <= greatest(s.y1, s.y2) and least(s.y1, s.y2) <= greatest(l.y1, l.y2) + 60),
+    k as (select id, {_AXES.format(x="x1", y="y1", u="x1", v="y1")}, {_AXES.format(x="x2", y="y2", u="x2", v="y2")}, 0.0::double as minx, -60.0::double as miny, n as maxx, 60.0::double as maxy from p where n > 0),
+    i as (select id, {_STRIP[0]} as lo, {_STRIP[1]} as hi from k union all {_disc_sql(1, 60.0)} union all {_disc_sql(2, 60.0)}),
+    m as (select id, lo, hi, max(hi) over (partition by id order by lo, hi rows between unbounded preceding and 1 preceding) as before from i where lo < hi),
+    u as (select id, sum(greatest(0.0, hi - greatest(lo, coalesce(before, 0.0)))) as share from m group by id)
+    select l.id, round(coalesce(share, 0.0), 6) as share, cast(coalesce(share, 0.0) >= 0.8 as integer) as dropped from v_lines l left join u on l.id = u.id"""
+)
 def overlap_integration(spark: SparkSession, d: str) -> DataFrame:
     """Share of each line within 60 m of the segments, and whether at 80 % it would be dropped as already there."""
     lines, segs = sj.boxed_segments(layer(spark, d, "v_lines")), sj.boxed_segments(layer(spark, d, "v_segs"))
