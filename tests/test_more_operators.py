@@ -13,7 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from voltweave.functions import geometry as g
 from voltweave.operators import components, learn, network, ranking, raster, sampling
+from voltweave.operators import spatial_join as sj
 from voltweave.plans import boundaries, catalogue, queries_graph
 from voltweave.plans.layers import layer
 from voltweave.sources import writers
@@ -241,3 +243,29 @@ def test_a_boundary_is_the_union_of_its_rows(spark):
     assert [(r["name"], r["n"], r["area"]) for r in mask.collect()] == [("IOWA", 2, pytest.approx(28))]
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 5.0, 1.0), (4, 105.0, 5.0)], "id long, x double, y double")
     assert {r["id"] for r in boundaries.clipped(points, mask, 10.0).collect()} == {1, 2}
+
+
+def test_nearest_targets_by_source_and_by_rounds_equal_brute_force(spark, monkeypatch):
+    edges = [(1, 2, 1.0), (2, 3, 1.0), (1, 4, 1.0), (4, 3, 1.0), (3, 5, 2.0), (5, 6, 0.5), (2, 6, 9.0), (None, 1, 1.0), (1, 6, None), (7, 8, 1.0)]
+    df = spark.createDataFrame(edges, "u long, v long, w double")
+    sources = spark.createDataFrame([(1,), (3,), (8,), (9,), (1,)], "source long")
+    targets = spark.createDataFrame([(3,), (6,), (5,), (9,), (7,)], "target long")
+    expected = [(1, 3, 2.0, [1, 2, 3]), (1, 5, 4.0, [1, 2, 3, 5]), (3, 3, 0.0, [3]), (3, 5, 2.0, [3, 5]), (8, 7, 1.0, [8, 7]), (9, 9, 0.0, [9])]
+    for held in (network.HELD_EDGES, 0):
+        monkeypatch.setattr(network, "HELD_EDGES", held)
+        assert sorted(tuple(r) for r in network.nearest_targets(df, sources, targets, 2).collect()) == expected
+
+
+def test_radius_count_equals_brute_force(spark):
+    left = [(i, (i * 37 % 101) * 3.5 - 100, (i * 53 % 97) * 3.0) for i in range(60)] + [(60, None, 1.0), (61, 0.0, 0.0)]
+    right = [((i * 29 % 89) * 4.0 - 100, (i * 71 % 103) * 2.5) for i in range(400)] + [(30.0, 40.0), (50.0, 0.0), (None, 0.0)]
+    out = sj.radius_count(spark.createDataFrame(left, "id long, x double, y double"), spark.createDataFrame(right, "x double, y double"), 50.0)
+    expected = {i: sum(x is not None and a is not None and ((x - a) ** 2 + (y - b) ** 2) ** 0.5 <= 50 for a, b in right) for i, x, y in left}
+    assert {r["id"]: r["n"] for r in out.collect()} == expected
+
+
+def test_a_disc_that_is_missed_covers_nothing(spark):
+    rows = [(0.0, 0.0, 10.0, 0.0, 5.0, 9.0), (0.0, 0.0, 10.0, 0.0, 5.0, 3.0), (0.0, 0.0, 10.0, 0.0, 50.0, 0.0), (1.0, 1.0, 1.0, 1.0, 2.0, 1.0), (1.0, 1.0, 1.0, 1.0, 20.0, 1.0)]
+    df = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double, px double, py double")
+    lo, hi = g.capsule_interval("x1", "y1", "x2", "y2", "px", "py", 5.0)
+    assert [tuple(r) for r in df.select(lo.alias("lo"), hi.alias("hi")).collect()] == [(None, None), (0.1, 0.9), (None, None), (0.0, 1.0), (None, None)]

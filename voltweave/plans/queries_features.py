@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voltweave.operators import sampling
 from voltweave.operators import spatial_join as sj
 from voltweave.plans import features, recipes
-from voltweave.plans.layers import layer, raster, with_layers
+from voltweave.plans.layers import RASTER_SQL, layer, raster, with_layers
 from voltweave.plans.queries_join import point_segment_sql
 from voltweave.plans.registry import query
 
@@ -56,7 +56,15 @@ def merged_distances(spark: SparkSession, d: str) -> DataFrame:
     return features.merged_distances(table, {"any": ["sites", "pts"]}).select("id", F.round("dist_any", 4).alias("dist_any"))
 
 
-@query()
+@query(
+    with_layers("v_segs", "v_pixels")
+    + f""", {RASTER_SQL}, a as (select id, x1, y1, x2, y2, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) as len from v_segs),
+    st as (select id, x1, y1, (x2 - x1) / len as ux, (y2 - y1) / len as uy, unnest(range(0, cast(floor(len / 30) as bigint) + 1)) * 30.0::double as s from a where len >= 30),
+    sd as (select id, s, x1 + ux * s + k * uy * 50 as x, y1 + uy * s - k * ux * 50 as y from st, (values (1), (-1)) as k(k)),
+    h as (select id, s, max(cast(v as double)) - min(cast(v as double)) as rise from sd join pix on row = floor(y / 100) and col = floor(x / 100) group by id, s having count(v) = 2),
+    m as (select id, avg(abs(rise) / 100) as m from h group by id having count(*) >= 2)
+    select v_segs.id, round(degrees(atan(m)), 4) as perp_slope_deg from v_segs left join m on m.id = v_segs.id"""
+)
 def perpendicular_slope(spark: SparkSession, d: str) -> DataFrame:
     """Mean rise across each segment, from a raster."""
     pixels = raster(spark, d).withColumn("v", F.col("v").cast("double"))
