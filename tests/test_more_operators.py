@@ -269,3 +269,32 @@ def test_a_disc_that_is_missed_covers_nothing(spark):
     df = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double, px double, py double")
     lo, hi = g.capsule_interval("x1", "y1", "x2", "y2", "px", "py", 5.0)
     assert [tuple(r) for r in df.select(lo.alias("lo"), hi.alias("hi")).collect()] == [(None, None), (0.1, 0.9), (None, None), (0.0, 1.0), (None, None)]
+
+
+def test_radius_count_adds_up_over_chunks_of_a_dense_block(spark, monkeypatch):
+    monkeypatch.setattr(sj, "BLOCK_ROWS", 300)
+    rng = random.Random(4)
+    spots = lambda n: [(float(rng.randrange(90)), float(rng.randrange(90))) for _ in range(n)]
+    left, right = [(i, *p) for i, p in enumerate(spots(80))], spots(2000)
+    out = sj.radius_count(spark.createDataFrame(left, "id long, x double, y double"), spark.createDataFrame(right, "x double, y double"), 25.0)
+    expected = {i: sum(((x - a) ** 2 + (y - b) ** 2) ** 0.5 <= 25 for a, b in right) for i, x, y in left}
+    assert {r["id"]: r["n"] for r in out.collect()} == expected
+
+
+def test_nearest_looks_into_narrow_cells_where_rows_are_dense(spark):
+    rng = random.Random(5)
+    spots = lambda: sj.boxed_points(spark.createDataFrame([(i, rng.uniform(0, 400), rng.uniform(0, 400)) for i in range(600)], "id long, x double, y double"))
+    tested = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def apart(ax, ay, bx, by):
+        tested.add(1)
+        return ((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5
+
+    a, b = spots(), spots()
+    near = sj.k_nearest(a, b, cell=500.0, d=lambda: apart("l_x", "l_y", "r_x", "r_y")).collect()
+    n, want = tested.value, b.collect()
+    for r in a.collect():
+        best = min(want, key=lambda q: ((r["x"] - q["x"]) ** 2 + (r["y"] - q["y"]) ** 2, q["id"]))
+        assert [x["r_id"] for x in near if x["l_id"] == r["id"]] == [best["id"]]
+    assert n < 60_000  # 360,000 pairs in all

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,34 +63,89 @@ def count_matches(left: DataFrame, key: str, pairs: DataFrame, name: str = "n")
     return left.join(n, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
 
 
-def radius_count(left: DataFrame, right: DataFrame, radius: float, key: str = "id", name: str = "n", parts: int = 8) -> DataFrame:
+#: Right points that one task of a radius count holds; a block with more is counted in several tasks, and the counts add up.
+BLOCK_ROWS = 2_000_000
+
+
+def radius_count(left: DataFrame, right: DataFrame, radius: float, key: str = "id", name: str = "n", parts: int = 40) -> DataFrame:
     """left points with the number of right points at most radius away, 0 where there is none.
 
-    Cells of radius / parts that lie wholly inside the circle give their counts, made once; only the points of the cells on its
-    rim are tested one by one.
+    Points meet in blocks five radii wide, to which the right points within a radius of them are copied. In a block, the cells of
+    radius / parts that lie wholly inside the circle give their counts by running totals, a row at a time; only the points of the
+    cells on its rim are tested one by one.
     """
-    size = F.lit(float(radius) / parts)
-    at = lambda c: F.floor(F.col(c) / size)
-    cells = right.where("x is not null and y is not null").select(at("x").alias("_i"), at("y").alias("_j"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    around = F.sequence(F.lit(-parts - 1), F.lit(parts + 1))
-    whole = left.select(F.col(key).alias("_key"), F.col("x").alias("_px"), F.col("y").alias("_py"), F.explode(around).alias("_di")).select("*", F.explode(around).alias("_dj"))
-    whole = whole.select("_key", "_px", "_py", (at("_px") + F.col("_di")).alias("_i"), (at("_py") + F.col("_dj")).alias("_j"))
-    near, far = [], []
-    for p, c in (("_px", "_i"), ("_py", "_j")):
-        low, high = F.col(c) * size - F.col(p), (F.col(c) + 1) * size - F.col(p)
-        near.append(F.greatest(low, -high, F.lit(0.0)))
-        far.append(F.greatest(-low, high))
-    slack = radius * 1e-9  # a cell on the edge counts as one on the rim, which is tested exactly
-    inside = far[0] * far[0] + far[1] * far[1] <= (radius - slack) ** 2
-    outside = near[0] * near[0] + near[1] * near[1] > (radius + slack) ** 2
-    met = whole.where(~outside).withColumn("_inside", inside)
-    counts = cells.groupBy("_i", "_j").agg(F.count("*").alias("_c"))
-    core = met.where("_inside").join(counts, ["_i", "_j"]).groupBy("_key").agg(F.sum("_c").alias("_c"))
-    rim = met.where("not _inside").join(cells, ["_i", "_j"]).where(distance("_px", "_py", "_x", "_y") <= F.lit(float(radius))).groupBy("_key").agg(F.count("*").alias("_c"))
-    total = core.unionByName(rim).groupBy("_key").agg(F.sum("_c").alias("_c"))
+    size = F.lit(5.0 * radius)
+    known = lambda df: df.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    at = lambda c, d=0.0: F.floor((F.col(c) + F.lit(d)) / size)
+    margin = radius * (1 + 1e-6)
+    near = known(right).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    near = near.withColumn("_i", F.explode(F.sequence(at("x", -margin), at("x", margin)))).withColumn("_j", F.explode(F.sequence(at("y", -margin), at("y", margin))))
+    chunks = materialise(near.groupBy("_i", "_j").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_chunks")), "radius-blocks")
+    near = near.join(chunks, ["_i", "_j"]).withColumn("_chunk", F.pmod(F.xxhash64("x", "y"), F.col("_chunks")).cast("int")).drop("_chunks")
+    own = known(left).select(F.col(key).alias("_key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    own = own.withColumns({"_i": at("x"), "_j": at("y")}).join(chunks, ["_i", "_j"]).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"_key": a["_key"][:0], "_c": np.zeros(0, int)})
+        found = _counts_within(a["x"].to_numpy(), a["y"].to_numpy(), b["x"].to_numpy(), b["y"].to_numpy(), radius, radius / parts)
+        return pd.DataFrame({"_key": a["_key"], "_c": found})
+
+    kind = left.schema[key].dataType.simpleString()
+    blocks = ["_i", "_j", "_chunk"]
+    counts = own.groupBy(*blocks).cogroup(near.groupBy(*blocks)).applyInPandas(count, f"_key {kind}, _c long")
+    total = counts.groupBy("_key").agg(F.sum("_c").alias("_c")).hint("merge")  # as many rows as left has: never broadcast
     return left.join(total, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce("_c", F.lit(0)).cast("long")).drop("_key", "_c")
 
 
+def _counts_within(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float, cell: float, most: int = 2_000_000) -> np.ndarray:
+    """For each point p the number of points (x, y) at most radius away; at most so many tests are held at once."""
+    out = np.zeros(len(px), np.int64)
+    x0, y0 = x.min(), y.min()
+    col, row = np.floor((x - x0) / cell).astype(np.int64), np.floor((y - y0) / cell).astype(np.int64)
+    nx, ny = int(col.max()) + 1, int(row.max()) + 1
+    order = np.argsort(row * nx + col, kind="stable")
+    x, y = x[order], y[order]
+    first = np.zeros(nx * ny + 1, np.int64)  # where each cell's points begin
+    np.cumsum(np.bincount(row * nx + col, minlength=nx * ny), out=first[1:])
+    slack = radius * 1e-9
+
+    def tested(who: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        some = end > begin
+        who, begin, n = who[some], begin[some], (end - begin)[some]
+        upto = np.cumsum(n)
+        cuts = np.searchsorted(upto, np.arange(most, int(upto[-1]) if len(upto) else 0, most)).tolist()
+        for p, q in zip([0, *cuts], [*cuts, len(who)], strict=True):
+            if q > p:
+                k = n[p:q]
+                at = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[p:q], k)
+                of = np.repeat(who[p:q], k)
+                dx, dy = px[of] - x[at], py[of] - y[at]
+                np.add(out, np.bincount(of[np.sqrt(dx * dx + dy * dy) <= radius], minlength=len(out)), out=out)
+
+    base = np.floor((py - y0) / cell).astype(np.int64)
+    reach = int(np.ceil(radius / cell)) + 1
+    for step in range(-reach, reach + 1):
+        r = base + step
+        low, high = r * cell + y0 - py, (r + 1) * cell + y0 - py
+        near, far = np.maximum(np.maximum(low, -high) - slack, 0.0), np.maximum(-low, high) + slack
+        who = np.flatnonzero((r >= 0) & (r < ny) & (near <= radius))
+        if not len(who):
+            continue
+        start = r[who] * nx
+        edge = lambda v: np.clip(np.floor(v / cell).astype(np.int64), 0, nx)
+        wide, narrow = np.sqrt(radius * radius - near[who] ** 2) + slack, np.sqrt(np.maximum(radius * radius - far[who] ** 2, 0.0)) - slack
+        mid = px[who] - x0
+        a, d = edge(mid - wide), np.clip(np.floor((mid + wide) / cell).astype(np.int64) + 1, 0, nx)
+        b, c = np.clip(np.ceil((mid - narrow) / cell).astype(np.int64), 0, nx), edge(mid + narrow)
+        b = np.where((narrow > 0) & (c > b), np.maximum(b, a), d)  # without a cell inside, all are on the rim
+        c = np.where(b < d, np.minimum(c, d), d)
+        out[who] += first[start + c] - first[start + b]
+        tested(who, first[start + a], first[start + b])
+        tested(who, first[start + c], first[start + d])
+    return out
+
+
 def flag_matches(left: DataFrame, key: str, pairs: DataFrame, name: str = "hit") -> DataFrame:
     """left with 1 where it has a pair, else 0."""
     hit = pairs.select(F.col("l_" + key).alias(key)).distinct().withColumn(name, F.lit(1))
@@ -120,26 +177,37 @@ def point_line_distance() -> Column:
 def k_nearest(left: DataFrame, right: DataFrame, k: int = 1, cell: float = 250.0, d: Callable[[], Column] = point_distance, key: str = "id", most: float | None = None) -> DataFrame:
     """The k nearest right rows of every left point: columns l_<key>, r_<key>, dist, rank; ties go to the smaller right key.
 
-    A round looks into the 3 x 3 cells around each point, which hold everything within one cell's width. A point is settled
-    once it has k rows within that width; the others go on with cells twice as wide, so dense regions never see wide cells.
-    With `most`, rows farther than that don't count. Left rows without any right row have none.
+    A round looks into the cells that each right row reaches when widened by one cell's width, so every point finds all within that
+    width in its own cell. A point is settled once it has k rows within that width; the others go on with cells twice as wide, so
+    dense regions never see wide cells. The first cells are no wider than `cell` and hold about 2 k right rows, but are no narrower
+    than these are on average. With `most`, rows farther than that don't count. Left rows without any right row have none.
     """
-    both = [left.select(F.min("minx"), F.max("maxx"), F.min("miny"), F.max("maxy")).first(), right.select(F.min("minx"), F.max("maxx"), F.min("miny"), F.max("maxy")).first()]
+    bounds = [F.min("minx"), F.max("maxx"), F.min("miny"), F.max("maxy")]
+    size = [F.count("*"), F.avg(F.col("maxx") - F.col("minx")), F.avg(F.col("maxy") - F.col("miny"))]
+    both = [left.select(*bounds).first(), right.select(*bounds, *size).first()]
     if any(r[0] is None for r in both):
         return box_pairs(left, right, cell).select("l_" + key, "r_" + key, F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
     span = max(max(r[1] for r in both) - min(r[0] for r in both), max(r[3] for r in both) - min(r[2] for r in both))
     want = float(most) if most is not None else float(span) * 1.5 + 1.0
-    width, todo, done = float(cell), left, []
+    r = both[1]
+    even = (2.0 * k * float(r[1] - r[0]) * float(r[3] - r[2]) / r[4]) ** 0.5
+    width, todo, done = min(float(cell), max(even, float(r[5]), float(r[6]))) or float(cell), left, []
+    at = lambda c: F.floor(F.col("l_" + c) / F.lit(width))
     while True:
-        pairs = box_pairs(todo, right, width, min(width, want)).withColumn("dist", d()).where(F.col("dist") <= min(width, want))
-        w = Window.partitionBy("l_" + key).orderBy("dist", "r_" + key)
-        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("l_" + key, "r_" + key, "dist", "rank")
+        reach = min(width, want)
+        own = prefixed(todo, "l_").withColumns({"_i": at("minx"), "_j": at("miny")})
+        pairs = own.join(_cells(prefixed(right, "r_"), "r_", width, reach * (1 + 1e-6)), ["_i", "_j"]).withColumn("dist", d()).where(F.col("dist") <= reach)
+        if k == 1:
+            best = pairs.groupBy("l_" + key).agg(F.min(F.struct("dist", "r_" + key)).alias("b")).select("l_" + key, "b.r_" + key, "b.dist", F.lit(1).alias("rank"))
+        else:
+            w = Window.partitionBy("l_" + key).orderBy("dist", "r_" + key)
+            best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("l_" + key, "r_" + key, "dist", "rank")
         if width >= want:
             done.append(best)
             break
         best = materialise(best, "nearest")
-        full = best.where(F.col("rank") == k).select(F.col("l_" + key).alias(key))
-        done.append(best.join(full.withColumnRenamed(key, "l_" + key), "l_" + key, "left_semi"))
+        full = best.where(F.col("rank") == k).select(F.col("l_" + key).alias(key)).hint("merge")  # as many rows as left has: never broadcast
+        done.append(best if k == 1 else best.join(full.withColumnRenamed(key, "l_" + key), "l_" + key, "left_semi"))
         todo = materialise(todo.join(full, key, "left_anti"), "nearest-open")
         if todo.isEmpty():
             break
