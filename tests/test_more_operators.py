@@ -307,3 +307,10 @@ def test_depth_areas_count_every_unit_square(spark, monkeypatch):
     depth = Counter((i, j) for a, b, c, e in boxes for i in range(int(a), int(c)) for j in range(int(b), int(e)))
     got = overlay.depth_areas(spark.createDataFrame(boxes, "minx double, miny double, maxx double, maxy double"), 25.0).collect()
     assert {r["n"]: r["area"] for r in got} == Counter(depth.values())
+
+
+def test_boxes_much_wider_than_a_cell_lie_in_few_cells(spark):
+    boxes = spark.createDataFrame([(float(i), float(i), i + 8000.0, i + 8000.0) for i in range(50)], "minx double, miny double, maxx double, maxy double")
+    cell = sj.fitting_cell(boxes, 500.0)
+    assert sj._cells(boxes, "", cell, 0.0).count() <= 50 * 4
+    assert sj.fitting_cell(boxes.limit(0), 500.0) == 500.0

@@ -89,18 +89,20 @@ def along_lines(lines: DataFrame, n: int, radius: float) -> DataFrame:
     into as many cells as there are lines; lines and samples meet by cell, so no range join is needed. Lines without a length
     get no sample, and where none has one there are none.
     """
-    upto = running_totals(lines.withColumn("len", g.segment_length()).where("len > 0"), [F.col("id")], {"len": "_upto"})
+    own = lines.select("id", "x1", "y1", "x2", "y2").withColumn("len", g.segment_length()).where("len > 0")
+    upto = running_totals(own, [F.col("id")], {"len": "_upto"})
     size = upto.agg(F.max("_upto").alias("total"), F.count("*").alias("n")).first()
     if not size["n"]:
         return lines.select(F.lit(0).cast("long").alias("k"), F.col("id").alias("line_id"), F.col("x1").alias("x"), F.col("y1").alias("y")).limit(0)
     cell = F.lit(size["total"] / size["n"])
     at_cell = lambda c: F.least(F.floor(c / cell), F.lit(size["n"] - 1))
-    upto = upto.withColumn("_from", F.col("_upto") - F.col("len")).withColumn("_cell", F.explode(F.sequence(at_cell(F.col("_from")), at_cell(F.col("_upto")))))
+    upto = upto.withColumn("_from", F.col("_upto") - F.col("len"))
+    spread = upto.select("_from", "_upto", F.explode(F.sequence(at_cell(F.col("_from")), at_cell(F.col("_upto")))).alias("_cell"))
     draws = lines.sparkSession.range(n).select(F.col("id").alias("k"), (unit(1, "id") * size["total"]).alias("_at"))
-    hit = draws.withColumn("_cell", at_cell(F.col("_at"))).join(upto, "_cell").where("_at >= _from and _at < _upto")
+    hit = draws.withColumn("_cell", at_cell(F.col("_at"))).join(spread, "_cell").where("_at >= _from and _at < _upto")
     # rounding may leave a sample between two lines, or with both: its line is the first that reaches it
     first = draws.join(hit.groupBy("k").agg(F.min("_upto").alias("_upto")), "k", "left").withColumn("_upto", F.coalesce("_upto", F.lit(size["total"])))
-    picked = first.join(upto.drop("_cell").distinct(), "_upto").dropDuplicates(["k"])
+    picked = materialise(first, "line-samples").join(upto, "_upto").dropDuplicates(["k"])
     spot = g.interpolate("x1", "y1", "x2", "y2", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("_at") - F.col("_from")) / F.col("len"))))
     angle, r = unit(3, "k") * 2 * math.pi, unit(4, "k") * radius
     return picked.withColumn("_p", spot).select("k", F.col("id").alias("line_id"), (F.col("_p.x") + r * F.cos(angle)).alias("x"), (F.col("_p.y") + r * F.sin(angle)).alias("y"))
@@ -118,7 +120,7 @@ def in_polygons(spark: SparkSession, zones: DataFrame, n: int, seed: int = 42) -
     for _ in range(12):
         draws = spark.range(start, start + size)
         points = sj.boxed_points(draws.select("id", (F.lit(box["a"]) + unit(seed, "id") * (box["c"] - box["a"])).alias("x"), (F.lit(box["b"]) + unit(seed + 1, "id") * (box["d"] - box["b"])).alias("y")))
-        kept = sj.with_match(points, "id", sj.box_pairs(points, zones, 500.0)).select("id", "x", "y")
+        kept = sj.with_match(points, "id", sj.box_pairs(points, zones, sj.fitting_cell(zones, 500.0))).select("id", "x", "y")
         found = kept if found is None else found.unionByName(kept)
         if found.count() >= n:
             break
@@ -142,8 +144,8 @@ def training_points(spark: SparkSession, area: DataFrame, grid: DataFrame, roads
         in_polygons(spark, area, count[2]).select(F.lit(2).alias("kind"), F.col("id").alias("k"), "x", "y"),
     ]
     points = sj.boxed_points(drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).withColumn("id", F.col("k") * 3 + F.col("kind")))
-    points = materialise(sj.with_match(points, "id", sj.box_pairs(points, area, 500.0)), "training-points")
-    homes = sj.count_matches(points, "id", sj.within_distance(points, sj.boxed_points(buildings), 1000.0, sj.point_distance()), "n")
+    points = materialise(sj.with_match(points, "id", sj.box_pairs(points, area, sj.fitting_cell(area, 500.0))), "training-points")
+    homes = sj.radius_count(points, buildings, 1000.0)
     homes = homes.withColumn("buffer_m", aggregate.interpolated(F.col("n"), 0, 600, 450.0, 100.0))
     near = sj.within_distance(points, sj.boxed_segments(grid), 450.0, sj.point_line_distance()).groupBy(F.col("l_id").alias("id")).agg(F.min("dist").alias("dist"))
     label = F.coalesce((F.col("dist") <= F.col("buffer_m")).cast("int"), F.lit(0))

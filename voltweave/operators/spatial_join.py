@@ -52,6 +52,12 @@ def box_pairs(left: DataFrame, right: DataFrame, cell: float, margin: float = 0.
     return joined.drop("_i", "_j")
 
 
+def fitting_cell(boxes: DataFrame, least: float) -> float:
+    """A cell for joins of points with boxes: as wide as these are on average, so that each lies in about four cells."""
+    size = boxes.select(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0]
+    return max(float(least), float(size or 0.0))
+
+
 def within_distance(left: DataFrame, right: DataFrame, radius: float, d: Column, cell: float | None = None) -> DataFrame:
     """Pairs at most radius apart by the distance column d (over l_ and r_ columns), with that distance."""
     return box_pairs(left, right, cell or radius, radius).withColumn("dist", d).where(F.col("dist") <= F.lit(float(radius)))
@@ -153,7 +159,7 @@ def flag_matches(left: DataFrame, key: str, pairs: DataFrame, name: str = "hit")
 
 
 def with_match(left: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
-    return left.join(pairs.select(F.col("l_" + key).alias(key)), key, "left_semi")
+    return left.join(pairs.select(F.col("l_" + key).alias(key)).distinct(), key, "left_semi")
 
 
 def without_match(left: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
