@@ -191,6 +191,20 @@ def test_long_lists_are_compared_in_blocks(spark):
     assert got == {i: find(i) for i in range(300)}
 
 
+def test_verification_ships_packed_texts(spark):
+    rng = random.Random(9)
+    words = [word(rng) for _ in range(400)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([5, 400])))) for i in range(40)]
+    assert all(setjoin.unpack(setjoin.pack(t.encode())) == t.encode() for _, t in [*docs, (0, "")])
+    every = spark.sparkContext.broadcast((np.full(1 << 13, 255, np.uint8), 16))
+    text = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("cast(text as binary) as text")
+    rows = text.mapInArrow(setjoin._texts(every, 4), "sig long, text binary").collect()
+    sets = {setjoin.signature(s): s for s in (setjoin.shingle_set(t.encode()) for _, t in docs)}
+    assert {r["sig"] for r in rows} == set(sets)
+    assert all((setjoin.shingle_set(setjoin.unpack(r["text"])) == sets[r["sig"]]).all() for r in rows)
+    assert 2 * sum(len(r["text"]) for r in rows) < sum(s.nbytes for s in sets.values())
+
+
 def test_cube_balances_words_and_counts():
     rng = np.random.default_rng(2)
     sizes, p = rng.integers(1, 4000, 800).astype(float), np.full(800, 0.37)
