@@ -16,7 +16,7 @@ import __spark_entry__
 from voltweave.functions import geometry as g
 from voltweave.operators import components, learn, network, overlay, ranking, raster, sampling
 from voltweave.operators import spatial_join as sj
-from voltweave.plans import boundaries, catalogue, queries_graph
+from voltweave.plans import boundaries, catalogue, features, queries_graph
 from voltweave.plans.layers import layer
 from voltweave.sources import writers
 
@@ -314,3 +314,18 @@ def test_boxes_much_wider_than_a_cell_lie_in_few_cells(spark):
     cell = sj.fitting_cell(boxes, 500.0)
     assert sj._cells(boxes, "", cell, 0.0).count() <= 50 * 4
     assert sj.fitting_cell(boxes.limit(0), 500.0) == 500.0
+
+
+def test_held_places_give_the_nearest_distance(spark):
+    rng = np.random.default_rng(5)
+    clumped = np.concatenate([rng.normal(0, 1, (300, 2)), [[500.0, 500.0]], np.zeros((40, 2))])
+    p = np.concatenate([rng.normal(0, 3, (200, 2)), rng.uniform(-900, 900, (100, 2))])
+    for q in (clumped, rng.uniform(0, 50, (500, 2)), np.column_stack([np.arange(50.0), np.zeros(50)]), np.array([[3.0, 4.0]]), clumped[:0]):
+        got = sj.Places(q[:, 0], q[:, 1]).nearest(p[:, 0], p[:, 1], most=1000)
+        want = np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2)).min(axis=1) if len(q) else np.full(len(p), np.nan)
+        assert np.array_equal(got, want, equal_nan=True)
+    units = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 6.0, 8.0)], "id long, x double, y double")
+    layers = {"a": spark.createDataFrame([(0.0, 0.0), (None, 1.0)], "x double, y double"), "b": units.select("x", "y").limit(0)}
+    out = features.distances(units, layers)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0.0, None), (2, None, None), (3, 10.0, None)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

@@ -222,3 +222,90 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int = 1, cell: float = 250.0
     for x in done[1:]:
         out = out.unionByName(x)
     return out
+
+
+#: Points of a layer that every task may hold at once; a larger layer stays distributed, with the same result.
+HELD_POINTS = 2_000_000
+
+
+class Places:
+    """Points sorted into cells of about two, for searches in one task."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        x, y = np.unique(np.column_stack([x, y]), axis=0).T if len(x) else (x, y)
+        self.n, self.x0, self.y0 = len(x), *((x.min(), y.min()) if len(x) else (0.0, 0.0))
+        w, h = (x.max() - self.x0, y.max() - self.y0) if len(x) else (0.0, 0.0)
+        self.cell = max(float(np.sqrt(2.0 * w * h / max(1, self.n))), float(max(w, h)) / (4.0 * max(1, self.n))) or 1.0
+        col, row = self._cell(x, y)
+        self.nx, self.ny = (int(col.max()) + 1, int(row.max()) + 1) if self.n else (1, 1)
+        order = np.argsort(row * self.nx + col, kind="stable")
+        self.x, self.y = np.ascontiguousarray(x[order]), np.ascontiguousarray(y[order])
+        self.first = np.zeros(self.nx * self.ny + 1, np.int64)
+        np.cumsum(np.bincount(row * self.nx + col, minlength=self.nx * self.ny), out=self.first[1:])
+
+    def _cell(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.floor((x - self.x0) / self.cell).astype(np.int64), np.floor((y - self.y0) / self.cell).astype(np.int64)
+
+    def nearest(self, px: np.ndarray, py: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+        """Distance to the nearest place, NaN without any; at most so many tests are held at once (or those of one point).
+
+        A point looks into a square of cells around its own, and into ever wider ones until what it found is nearer than all
+        that lies outside.
+        """
+        best = np.full(len(px), np.inf)
+        todo = np.flatnonzero(np.isfinite(px) & np.isfinite(py)) if self.n else np.zeros(0, np.int64)
+        reach = 1
+        while len(todo):
+            x, y = px[todo], py[todo]
+            col = np.clip(np.floor((x - self.x0) / self.cell), 0, self.nx - 1).astype(np.int64)
+            row = np.clip(np.floor((y - self.y0) / self.cell), 0, self.ny - 1).astype(np.int64)
+            a, b = np.maximum(col - reach, 0), np.minimum(col + reach, self.nx - 1) + 1
+            for step in range(-min(reach, self.ny), min(reach, self.ny) + 1):
+                r = row + step
+                some = np.flatnonzero((r >= 0) & (r < self.ny))
+                begin, end = self.first[r[some] * self.nx + a[some]], self.first[r[some] * self.nx + b[some]]
+                some, begin, count = some[end > begin], begin[end > begin], (end - begin)[end > begin]
+                upto = np.cumsum(count)
+                cuts = np.unique(np.searchsorted(upto, np.arange(most, int(upto[-1]) if len(upto) else 0, most))).tolist()
+                for p, q in zip([0, *cuts], [*cuts, len(some)], strict=True):
+                    if q > p:
+                        k = count[p:q]
+                        start = np.cumsum(k) - k
+                        at = np.arange(int(k.sum())) + np.repeat(begin[p:q] - start, k)
+                        dx, dy = np.repeat(x[some[p:q]], k) - self.x[at], np.repeat(y[some[p:q]], k) - self.y[at]
+                        who = todo[some[p:q]]
+                        best[who] = np.minimum(best[who], np.minimum.reduceat(dx * dx + dy * dy, start))
+            gap = np.full(len(todo), np.inf)
+            for open_, side in (
+                (col - reach > 0, x - (self.x0 + (col - reach) * self.cell)),
+                (col + reach < self.nx - 1, self.x0 + (col + reach + 1) * self.cell - x),
+                (row - reach > 0, y - (self.y0 + (row - reach) * self.cell)),
+                (row + reach < self.ny - 1, self.y0 + (row + reach + 1) * self.cell - y),
+            ):
+                gap = np.where(open_, np.minimum(gap, side), gap)
+            todo = todo[np.sqrt(best[todo]) > gap - 1e-6 * self.cell]
+            if reach >= max(self.nx, self.ny):
+                break
+            reach *= 2
+        return np.where(np.isfinite(best), np.sqrt(best), np.nan)
+
+
+def held_places(layer: DataFrame) -> Places | None:
+    """A layer's points (x, y) if they are few enough to be held, counted first."""
+    known = layer.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if known.count() > HELD_POINTS:
+        return None
+    rows = known.toArrow()
+    return Places(rows["x"].to_numpy(), rows["y"].to_numpy())
+
+
+def distance_to_places(df: DataFrame, places: Places, name: str) -> DataFrame:
+    """df with the distance of its points (x, y) to the nearest of the held places, null without any; nothing is shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(places)
+
+    @F.pandas_udf("double")
+    def nearest(x: pd.Series, y: pd.Series) -> pd.Series:
+        found = pd.Series(shared.value.nearest(x.to_numpy(float, na_value=np.nan), y.to_numpy(float, na_value=np.nan)))
+        return found.astype(object).where(found.notna(), None) if found.isna().any() else found
+
+    return df.withColumn(name, nearest(F.col("x").cast("double"), F.col("y").cast("double")))
