@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from voltweave.functions import geometry as g
-from voltweave.operators import components, learn, network, overlay, ranking, raster, sampling
+from voltweave.operators import clustering, components, learn, network, overlay, ranking, raster, sampling
 from voltweave.operators import spatial_join as sj
 from voltweave.plans import boundaries, catalogue, features, queries_graph
 from voltweave.plans.layers import layer
@@ -329,3 +329,34 @@ def test_held_places_give_the_nearest_distance(spark):
     out = features.distances(units, layers)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 0.0, None), (2, None, None), (3, 10.0, None)]
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def _plain_dbscan(p, radius, least):
+    near = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)) <= radius
+    core, label = near.sum(axis=1) >= least, np.full(len(p), -1)
+    for i in np.flatnonzero(core):
+        todo = [i] if label[i] < 0 else []
+        while todo:
+            k = todo.pop()
+            if label[k] < 0:
+                label[k] = i
+                todo += np.flatnonzero(near[k] & core & (label < 0)).tolist()
+    for i in np.flatnonzero(~core):
+        label[i] = min(label[near[i] & core], default=-1)
+    return dict(enumerate(label.tolist()))
+
+
+def test_dbscan_in_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BLOCK_CELLS", 5)
+    monkeypatch.setattr(clustering, "near_pairs", None)  # pairs grow with the square of the density: none may be written
+    rng = np.random.default_rng(7)
+    for p, radius, least in (
+        (rng.uniform(-60, 60, (500, 2)), 5.0, 3),
+        (rng.integers(0, 40, (700, 2)).astype(float), 2.0, 8),
+        (np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(9, 2, (80, 2)), np.column_stack([np.linspace(-80, 80, 150), np.zeros(150)])]), 2.5, 4),
+        (np.concatenate([rng.uniform(0, 1.3, (60, 2)), rng.uniform(0, 1.3, (60, 2)) + [2.2, 0]]), 1.0, 2),
+        (rng.uniform(0, 90, (60, 2)), 3.0, 1),
+    ):
+        df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)] + [(9999, None, 1.0)], "id long, x double, y double")
+        got = {r["id"]: r["cluster"] for r in clustering.dbscan(df, radius, least).collect()}
+        assert got == _plain_dbscan(p, radius, least) | {9999: -1}
