@@ -360,3 +360,24 @@ def test_dbscan_in_blocks_equals_brute_force(spark, monkeypatch):
         df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)] + [(9999, None, 1.0)], "id long, x double, y double")
         got = {r["id"]: r["cluster"] for r in clustering.dbscan(df, radius, least).collect()}
         assert got == _plain_dbscan(p, radius, least) | {9999: -1}
+
+
+def test_merged_intervals_equal_those_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    p = rng.integers(-60, 60, (150, 2)).astype(float)
+    segs = [(i, *p[i].tolist(), *(p[i] + (rng.integers(-50, 50, 2) if i % 9 else [0, 30] if i % 2 else [0, 0])).tolist()) for i in range(150)]
+    segs = sj.boxed_segments(spark.createDataFrame([*segs, (999, None, 0.0, 1.0, 1.0)], "id long, x1 double, y1 double, x2 double, y2 double"))
+    c, h = rng.integers(-60, 60, (120, 2)), rng.choice([0, 3, 9, 40], (120, 2), p=[0.1, 0.5, 0.37, 0.03])
+    boxes = spark.createDataFrame([tuple(map(float, (*(c[i] - h[i]), *(c[i] + h[i])))) for i in range(120)], "minx double, miny double, maxx double, maxy double")
+    lines = segs.where("id % 4 = 0")
+    pairs = overlay.segment_box_intervals(segs, boxes, 20.0), overlay.segment_buffer_intervals(segs, lines, 6.0, 20.0)
+    monkeypatch.setattr(overlay, "TESTED", 500)
+    monkeypatch.setattr(sj, "box_pairs", None)  # pairs grow with the product of the densities: none may be written
+    merged = overlay.merged_intervals(segs, boxes, overlay.box_clips, 25.0), overlay.merged_intervals(segs, lines, overlay.buffer_clips(6.0), 25.0, 6.0)
+    monkeypatch.setattr(overlay, "SAMPLED", 1.0)
+    dense = overlay.merged_intervals(segs, boxes, overlay.box_clips, 30.0), overlay.merged_intervals(segs, lines, overlay.buffer_clips(6.0), 30.0, 6.0)
+    for a, b in zip(pairs * 2, merged + dense, strict=True):
+        share = [{r["id"]: round(r["share"], 9) for r in overlay.union_share(x, "id").collect()} for x in (a, b)]
+        assert share[0] and share[0] == share[1]
+        gaps = [sorted(tuple(r) for r in overlay.cut_outside(segs, x, "id", 0.7).collect()) for x in (a, b)]
+        assert len(gaps[0]) == len(gaps[1]) and np.allclose(gaps[0], gaps[1], rtol=0, atol=1e-12)

@@ -212,7 +212,7 @@ def seg_box_clip_length_pivot(spark: SparkSession, d: str) -> DataFrame:
 def line_union_overlap_frac(spark: SparkSession, d: str) -> DataFrame:
     """Share of each segment inside the union of all boxes, by merging intervals along it."""
     segs, boxes = sj.boxed_segments(layer(spark, d, "v_segs")), layer(spark, d, "v_boxes")
-    frac = overlay.union_share(overlay.segment_box_intervals(segs, boxes, 400.0), "id")
+    frac = overlay.union_share(overlay.merged_intervals(segs, boxes, overlay.box_clips, 1000.0), "id")
     out = segs.select("id").join(frac, "id", "left").withColumn("frac", F.coalesce("share", F.lit(0.0)))
     return out.select("id", F.round("frac", 6).alias("frac"), (F.col("frac") >= 0.5).cast("int").alias("label"))
 
@@ -230,7 +230,7 @@ def line_union_overlap_frac(spark: SparkSession, d: str) -> DataFrame:
 def cut_by_exclusions(spark: SparkSession, d: str) -> DataFrame:
     """The parts of the segments outside all boxes; segments that lose more than half go altogether."""
     segs, boxes = sj.boxed_segments(layer(spark, d, "v_segs")), layer(spark, d, "v_boxes")
-    parts = overlay.cut_outside(segs, overlay.segment_box_intervals(segs, boxes, 400.0), "id", most_removed=0.5)
+    parts = overlay.cut_outside(segs, overlay.merged_intervals(segs, boxes, overlay.box_clips, 1000.0), "id", most_removed=0.5)
     return parts.select("id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
