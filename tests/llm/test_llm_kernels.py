@@ -191,6 +191,27 @@ def test_long_lists_are_compared_in_blocks(spark):
     assert got == {i: find(i) for i in range(300)}
 
 
+def test_pairs_and_copied_texts_are_dealt_into_rounds(spark, monkeypatch):
+    rng = random.Random(11)
+    docs = []
+    for g in range(3):
+        base = [word(rng) for _ in range(60)]
+        for i in range(200 if g == 0 else 40):
+            w = list(base)
+            for k in rng.sample(range(60), 2 if i % 2 else 4):
+                w[k] = f"{word(rng)}{i}x{k}"
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = sorted(tuple(r) for r in setjoin.classes(df).collect())
+    asked, labels, write = [], [], setjoin.materialise
+    monkeypatch.setattr(setjoin, "HUB", 30)
+    monkeypatch.setattr(setjoin, "_rounds", lambda count, most: asked.append(count) or 3)
+    monkeypatch.setattr(setjoin, "materialise", lambda df, label: labels.append(label) or write(df, label))
+    assert sorted(tuple(r) for r in setjoin.classes(df).collect()) == expected
+    assert len(asked) == 5 and max(asked) > 0
+    assert labels.count("sets-links") == 12 and labels.count("sets-last") == 4  # a table for each round, and the distinct pairs
+
+
 def test_verification_ships_packed_texts(spark):
     rng = random.Random(9)
     words = [word(rng) for _ in range(400)]
