@@ -389,3 +389,14 @@ def test_network_edges_are_those_of_all_pairs(spark, monkeypatch):
     got = edges()
     monkeypatch.setattr(overlay, "merged_intervals", lambda segs, zones, *_: boxes.append(1) or pairs(segs, zones, 500.0))
     assert got and got == edges() and boxes
+
+
+def test_one_search_for_several_kinds_of_targets_equals_one_search_each(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, (i * 7 + 3) % 61, float(1 + i % 4)) for i in range(61)] + [(i, (i * 11 + 5) % 61, float(1 + i % 4)) for i in range(61)], "u long, v long, w double").where("u <> v")
+    sources, odd, few = (spark.createDataFrame([(x,) for x in xs], f"{c} long") for c, xs in (("source", [0, 7, 14, 90]), ("target", [1, 7, 21, 90]), ("target", [5, 14])))
+    expected = sorted((k, *r) for k, (t, n) in enumerate(((odd, 3), (few, 1))) for r in map(tuple, network.nearest_targets(edges, sources, t, n).collect()))
+    assert (0, 90, 90, 0.0, [90]) in expected and len(expected) == 13
+    for held in (network.HELD_EDGES, 0):
+        monkeypatch.setattr(network, "HELD_EDGES", held)
+        (got,) = network.nearest_of_each(edges, [(sources, [(odd, 3), (few, 1)])])
+        assert sorted(map(tuple, got.collect())) == expected
