@@ -400,3 +400,30 @@ def test_one_search_for_several_kinds_of_targets_equals_one_search_each(spark, m
         monkeypatch.setattr(network, "HELD_EDGES", held)
         (got,) = network.nearest_of_each(edges, [(sources, [(odd, 3), (few, 1)])])
         assert sorted(map(tuple, got.collect())) == expected
+
+
+def test_pruning_links_in_blocks_equals_links_by_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 400, 500), rng.integers(0, 400, 500)
+    rows = [(int(i), float(a), float(b), float(a + c), float(b + e)) for i, a, b, c, e in zip(rng.permutation(500) + 100, x, y, rng.integers(-30, 31, 500), rng.integers(-30, 31, 500), strict=True)]
+    rows += [(1, 50.0, 50.0, None, 60.0), (2, None, 50.0, None, 60.0), (3, 900.0, 900.0, 902.0, 900.0), (4, 906.0, 900.0, 2900.0, 900.0), (5, 2905.0, 900.0, 2905.0, 905.0)]
+    segs = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double")
+    pairs = [(r["l_id"], r["r_id"]) for r in network.touching_pairs(segs, 5.0, 50.0).collect()]
+    root = {r[0]: r[0] for r in rows}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    groups = {}
+    for a in root:
+        groups.setdefault(find(a), []).append(a)
+    expected = sorted((a, k, len(v)) for k, v in groups.items() if len(v) >= 3 for a in v)
+    assert len(groups) > 10 and (5, 3, 3) in expected
+    monkeypatch.setattr(network, "connected_components", lambda links, *ends, real=network.connected_components: real(links, *ends) if links.count() < len(pairs) / 4 else pytest.fail("pairs are written"))
+    for sample in (40.0, 0.05):
+        monkeypatch.setattr(network, "LINK_SAMPLE", sample)
+        assert sorted((r["id"], r["component"], r["size"]) for r in network.prune(segs, 5.0, 3, 50.0).collect()) == expected
