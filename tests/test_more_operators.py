@@ -427,3 +427,18 @@ def test_pruning_links_in_blocks_equals_links_by_pairs(spark, monkeypatch):
     for sample in (40.0, 0.05):
         monkeypatch.setattr(network, "LINK_SAMPLE", sample)
         assert sorted((r["id"], r["component"], r["size"]) for r in network.prune(segs, 5.0, 3, 50.0).collect()) == expected
+
+
+def test_cutting_in_blocks_equals_cutting_by_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    rows = [(i, float(a), float(b), float(a + c), float(b + e), f"c{i % 3}") for i, (a, b, c, e) in enumerate(zip(x, y, rng.integers(-40, 41, 200), rng.integers(-40, 41, 200), strict=True))]
+    rows += [(900, 500.0, 500.0, 500.0, 520.0, "a"), (901, 490.0, 510.0, 510.0, 510.0, None), (902, 480.0, 500.0, 500.0, 500.0, "b"), (903, None, 1.0, 2.0, 3.0, "n")]
+    segs = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double, highway string")
+    blocks = {tuple(r) for r in network.planarise(segs, 50.0).select("id", "piece", "t0", "t1", "x1", "y2", "len", "highway").collect()}
+    monkeypatch.setattr(network, "CUT_WIDEST", -1.0)
+    pairs = {tuple(r) for r in network.planarise(segs, 50.0).select("id", "piece", "t0", "t1", "x1", "y2", "len", "highway").collect()}
+    assert blocks == pairs and len(blocks) > 300 and {(r[0], r[2], r[3]) for r in blocks if r[0] >= 900} == {(900, 0.0, 0.5), (900, 0.5, 1.0), (901, 0.0, 0.5), (901, 0.5, 1.0), (902, 0.0, 1.0)}
+    monkeypatch.undo()
+    monkeypatch.setattr(network, "crossings", lambda *_: pytest.fail("crossings are written"))
+    assert network.planarise(segs, 50.0).count() == len(blocks)
