@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltweave.functions import geometry as g
 from voltweave.operators import aggregate as agg
-from voltweave.operators import clustering, overlay
+from voltweave.operators import clustering, coverage, overlay
 from voltweave.operators import spatial_join as sj
 from voltweave.plans.layers import layer, with_layers
 from voltweave.plans.registry import query
@@ -228,9 +228,10 @@ def line_union_overlap_frac(spark: SparkSession, d: str) -> DataFrame:
     select gap.id, round(lo, 6) as lo, round(hi, 6) as hi from gap left join f using (id) where hi > lo and coalesce(frac, 0) <= 0.5"""
 )
 def cut_by_exclusions(spark: SparkSession, d: str) -> DataFrame:
-    """The parts of the segments outside all boxes; segments that lose more than half go altogether."""
-    segs, boxes = sj.boxed_segments(layer(spark, d, "v_segs")), layer(spark, d, "v_boxes")
-    parts = overlay.cut_outside(segs, overlay.merged_intervals(segs, boxes, overlay.box_clips, 1000.0), "id", most_removed=0.5)
+    """The parts of the segments outside all boxes; segments that lose more than half go altogether, as do those wholly covered."""
+    segs, boxes = sj.boxed_segments(layer(spark, d, "v_segs").select("id", "x1", "y1", "x2", "y2")), layer(spark, d, "v_boxes")
+    left, covered = overlay.open_intervals(segs, boxes, coverage.box_cover(boxes, 10.0), overlay.box_clips, 1000.0)
+    parts = overlay.cut_outside(left, covered, "id", most_removed=0.5)
     return parts.select("id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
