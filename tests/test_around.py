@@ -15,7 +15,7 @@ from voltweave.plans import catalogue, features
 def test_kernel_equals_brute_force(monkeypatch, tested):
     monkeypatch.setattr(around, "TESTED", tested)
     rng = np.random.default_rng(2)
-    for n, m, wide, values in ((200, 900, 60.0, 1e5), (300, 40, 60.0, 3), (50, 2000, 8.0, 1e5), (40, 500, 60.0, 1), (30, 1, 5.0, 9), (1, 7, 5.0, 2)):
+    for n, m, wide, values in ((200, 900, 60.0, 1e5), (300, 40, 60.0, 3), (50, 2000, 8.0, 1e5), (40, 500, 60.0, 1), (30, 1, 5.0, 9), (1, 7, 5.0, 2), (300, 3, 200.0, 9)):
         px, py, x, y = (rng.uniform(0, wide, k).round() for k in (n, n, m, m))
         v = rng.integers(0, values, m) / 7 + 1e4
         if m == 900:

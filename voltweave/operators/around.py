@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from voltweave.operators import spatial_join as sj
 
 #: Pairs of a point and a thing on its rim that are tested at once.
-TESTED = 500_000
+TESTED = 200_000
 #: Points of a cell, on average.
 SHARED = 60
 STATS = ("n", "median", "std", "total")
@@ -82,7 +82,7 @@ def around(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.n
     order = np.argsort(v, kind="stable")
     x, y, v = x[order], y[order], v[order]
     finite = np.isfinite(v)
-    middle = float(v[finite].mean()) if finite.any() else 0.0
+    middle, all_finite = float(v[finite].mean()) if finite.any() else 0.0, bool(finite.all())
     with np.errstate(invalid="ignore"):
         dev = np.where(finite, v - middle, 0.0)
     limit = _limit(radius)
@@ -109,15 +109,16 @@ def around(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.n
             x0, x1, y0, y1 = ux.min(), ux.max(), uy.min(), uy.max()
             if len(strip):
                 at = np.flatnonzero((sx >= x0 - radius - slack) & (sx <= x1 + radius + slack))
-                d = np.hypot(sx[at] - (x0 + x1) / 2, sy[at] - (y0 + y1) / 2)
+                dx, dy = sx[at] - (x0 + x1) / 2, sy[at] - (y0 + y1) / 2
+                d = np.sqrt(dx * dx + dy * dy)
                 half = np.hypot(x1 - x0, y1 - y0) / 2
                 inner = d <= radius - half - slack
                 rim = np.flatnonzero((d <= radius + half + slack) & ~inner)
                 before, at_rim, at_inner = np.cumsum(inner)[rim], strip[at[rim]], strip[at[inner]]
                 step = max(1, TESTED // max(1, len(rim)))
-                for p in range(0, len(who), step):
+                for p in range(0, len(who) if len(rim) or len(at_inner) else 0, step):
                     q = slice(p, p + step)
-                    found = _ranked(ux[q], uy[q], x[at_rim], y[at_rim], limit, before, v[at_inner], v[at_rim], dev[at_inner], dev[at_rim], finite[at_inner], finite[at_rim], middle)
+                    found = _ranked(ux[q], uy[q], x[at_rim], y[at_rim], limit, before, v[at_inner], v[at_rim], dev[at_inner], dev[at_rim], middle, all_finite)
                     n[who[q]] = found[0]
                     for out, f in zip(stats, found[1:], strict=True):
                         out[who[q]] = f
@@ -132,28 +133,32 @@ def around(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.n
     return n, stats, held
 
 
-def _ranked(px, py, x, y, limit, before, inner_v, rim_v, inner_dev, rim_dev, inner_finite, rim_finite, middle) -> tuple[np.ndarray, ...]:
+def _ranked(px, py, x, y, limit, before, inner_v, rim_v, inner_dev, rim_dev, middle, all_finite) -> tuple[np.ndarray, ...]:
     """n, median, deviation, sum for points that share the inner things; both kinds are in the order of v, and `before` tells how many
-    inner ones precede each on the rim. The k-th of both lists together is found by bisection, as their count grows along the rim."""
+    inner ones precede each on the rim. The k-th of both lists together is found by a binary search, as their count grows along the rim."""
     d, e = np.subtract.outer(px, x), np.subtract.outer(py, y)
     d *= d
     e *= e
     d += e
     hit = d <= limit
-    count = np.cumsum(hit, axis=1, dtype=np.int32)
     units, rims = np.arange(len(px)), len(x)
-    n = len(inner_v) + (count[:, -1] if rims else np.zeros(len(px), np.int64)).astype(np.int64)
+    base = units * (rims + len(inner_v) + 1)  # sets the units' counts apart, so that one search finds all places
+    kind = np.int32 if len(px) * (rims + len(inner_v) + 1) < 2**31 else np.int64
+    upto = np.cumsum(hit, axis=1, dtype=kind)
+    n = len(inner_v) + (upto[:, -1] if rims else np.zeros(len(px), kind)).astype(np.int64)
+    upto += before.astype(kind)
+    upto += base.astype(kind)[:, None]
     picked = []
     for k in ((n - 1) // 2, n // 2):
-        low, high = np.zeros(len(px), np.int64), np.full(len(px), rims)
-        while (going := low < high).any():
-            mid = np.minimum((low + high) >> 1, rims - 1)
-            less = going & (before[mid] + count[units, mid] <= k)
-            low, high = np.where(less, mid + 1, low), np.where(going & ~less, mid, high)
-        i = k - np.where(low > 0, count[units, np.maximum(low, 1) - 1], 0) if rims else k
-        own = i < (np.where(low < rims, before[np.minimum(low, rims - 1)], len(inner_v)) if rims else len(inner_v))
-        inner = inner_v[np.clip(i, 0, len(inner_v) - 1)] if len(inner_v) else np.full(len(px), np.nan)
-        picked.append(np.where(own | (rims == 0), inner, rim_v[np.minimum(low, rims - 1)] if rims else np.nan))
+        if not rims:
+            picked.append(inner_v[np.maximum(k, 0)])
+            continue
+        low = np.searchsorted(upto.reshape(-1), (base + k).astype(kind), side="right") - units * rims
+        past = np.maximum(low, 1) - 1
+        i = k - np.where(low > 0, upto[units, past] - before[past] - base, 0)  # the place among the inner ones
+        at = np.minimum(low, rims - 1)
+        own = i < np.where(low < rims, before[at], len(inner_v))
+        picked.append(np.where(own, inner_v[np.clip(i, 0, len(inner_v) - 1)], rim_v[at]) if len(inner_v) else rim_v[at])
     with np.errstate(invalid="ignore"):
         median = np.where(picked[0] == picked[1], picked[0], 0.5 * picked[0] + 0.5 * picked[1])
         weight = hit.astype(np.float64)
@@ -168,7 +173,7 @@ def _ranked(px, py, x, y, limit, before, inner_v, rim_v, inner_dev, rim_dev, inn
             square[c] = np.where(hit[c], (rim_dev - mean) ** 2, 0.0).sum(axis=1) + ((inner_dev - mean) ** 2).sum(axis=1)
         std = np.where(n > 1, np.sqrt(np.maximum(square, 0.0) / np.maximum(n - 1, 1)), np.nan)
         total = np.where(n > 0, middle * n + first, np.nan)
-        if not (inner_finite.all() and rim_finite.all()):
-            odd = np.where(hit & ~rim_finite, rim_v, 0.0).sum(axis=1) + inner_v[~inner_finite].sum()
+        if not all_finite:
+            odd = np.where(hit & ~np.isfinite(rim_v), rim_v, 0.0).sum(axis=1) + inner_v[~np.isfinite(inner_v)].sum()
             total, std = np.where(np.isfinite(odd), total, odd), np.where(np.isfinite(odd), std, np.nan)
         return n, np.where(n > 0, median, np.nan), std, total
