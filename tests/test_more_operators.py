@@ -143,6 +143,36 @@ def test_graph_of_three_passes(spark):
         assert r["is_used_by_any_path"] == int(any(count[p, r["u"], r["v"]] for p in (1, 2, 3)))
 
 
+def test_passes_look_for_as_many_clusters_as_a_run(spark, monkeypatch):
+    asked, kept = [], network.passes
+    monkeypatch.setattr(network, "passes", lambda *x: asked.append(kept(*x)) or asked[-1])
+    rows = catalogue.queries()["edge_path_stats"](spark, "/root/testdata/sf0.01").collect()
+    clusters = {r[0] for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").where("p_size = 7").select("p_partkey").collect()}
+    paths = asked[0].collect()
+    at = defaultdict(set)
+    for r in rows:
+        at[r["u"]].add(r["v"])
+        at[r["v"]].add(r["u"])
+
+    def others(source: int) -> int:
+        seen, todo = {source}, [source]
+        while todo:
+            new = at[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return len(seen & clusters) - 1
+
+    found = Counter((r["pass"], r["source"]) for r in paths if r["pass"] < 3 and r["target"] in clusters)
+    assert max(found.values()) > 4
+    assert all(found[1, c] == min(25, others(c)) for c in clusters)
+    for n in (1, 2, 3):
+        steps = [(min(a, b), max(a, b), r["source"], r["target"]) for r in paths if r["pass"] == n for a, b in zip(r["path"], r["path"][1:])]
+        count, ends = Counter(x[:2] for x in steps), defaultdict(set)
+        for u, v, s, t in steps:
+            ends[u, v] |= {s, t}
+        assert {(r["u"], r["v"]): (r[f"p{n}_count"], r[f"p{n}_terminals"]) for r in rows} == {(r["u"], r["v"]): (count[r["u"], r["v"]], len(ends[r["u"], r["v"]])) for r in rows}
+
+
 def test_healing_keeps_length_classes_and_protected_nodes(spark):
     rows = [(1, "a", "b", 1.0, "x", False), (2, "b", "c", 2.0, "x", True), (3, "c", "d", 3.0, "x", False), (4, "d", "e", 4.0, "y", False), (5, "e", "f", 5.0, "y", False), (6, "f", "f", 6.0, "y", False), (7, "g", "h", 1.0, None, False), (8, "h", "g", 1.0, None, False)]
     df = spark.createDataFrame(rows, "id long, a string, b string, len double, highway string, is_grid boolean")
