@@ -10,6 +10,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voltweave.llm import decontam, langid, licenses, media, mixing, pii, queries, setjoin, tokens, toxicity, warc
@@ -226,6 +227,30 @@ def test_verification_ships_packed_texts(spark):
     assert 2 * sum(len(r["text"]) for r in rows) < sum(s.nbytes for s in sets.values())
 
 
+def test_only_picked_texts_are_shingled_again(spark):
+    docs = ["one two three four five", "One two  three four five", "six seven eight nine ten", "", " "]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t.encode() for t in docs], pa.binary())})
+    bits = np.zeros(1 << 13, np.uint8)
+    bit = int(setjoin._bit(np.array([zlib.crc32(docs[1].encode())], np.int64), 16)[0])
+    bits[bit >> 3] |= 128 >> (bit & 7)
+
+    class Shared:
+        value = (bits, 16)
+
+    out = pa.Table.from_batches(setjoin._texts(Shared, 4)(iter([batch])))
+    assert out["sig"].to_pylist() == [setjoin.signature(setjoin.shingle_set(docs[0].encode()))]
+    assert [setjoin.unpack(x) for x in out["text"].to_pylist()] == [docs[1].encode()]
+
+
+def test_word_hashes_of_long_and_short_texts_agree(monkeypatch):
+    for text in (b"", b" ", b"a", b" Ab c\x0b\n d", "\u00e9t\u00e9 \u4f60\u597d x".encode(), b"x" * 500 + b" y", b" \t".join(b"w%d" % i for i in range(300))):
+        short = setjoin.word_hashes(text)
+        monkeypatch.setattr(setjoin, "PLACED", -1)
+        long = setjoin.word_hashes(text)
+        monkeypatch.undo()
+        assert short.tolist() == long.tolist() == [setjoin.word_hashes(w)[0] for w in text.split()]
+
+
 def test_cube_balances_words_and_counts():
     rng = np.random.default_rng(2)
     sizes, p = rng.integers(1, 4000, 800).astype(float), np.full(800, 0.37)
